@@ -26,17 +26,23 @@ def collect_params(params: DataFrame) -> dict[str, float]:
     return params.first().asDict()
 
 
-def _param_column(params: Params):
+def _bind(df: DataFrame, params: Params):
+    """The table with its parameters in reach, and how to name one.
+
+    The fitted row enters as a single struct column, so its subquery appears once in
+    the plan however often the parameters are used.
+    """
     if isinstance(params, DataFrame):
         row = params.select(F.struct(*params.columns)).scalar()
-        return lambda name: row[name]
-    return lambda name: F.lit(params[name]).cast("double")
+        return df.withColumn("_params", row), lambda name: F.col("_params")[name]
+    return df, lambda name: F.lit(params[name]).cast("double")
 
 
 def impute(df: DataFrame, columns: Sequence[str], medians: Params) -> DataFrame:
     """Fill nulls with fitted medians."""
-    at = _param_column(medians)
-    return df.withColumns({c: F.coalesce(F.col(c), at(c)) for c in columns})
+    bound, at = _bind(df, medians)
+    filled = bound.withColumns({c: F.coalesce(F.col(c), at(c)) for c in columns})
+    return filled.select(*df.columns)
 
 
 def two_point_calibrate(
@@ -53,8 +59,7 @@ def two_point_calibrate(
         wide = null_safe_join(df, df.groupBy(*keys).agg(*ends), list(keys))
         at = F.col
     else:
-        wide = df
-        at = _param_column(df.agg(*ends))
+        wide, at = _bind(df, df.agg(*ends))
     value = two_point_scale(
         F.col(raw), at("_raw_low"), at("_raw_high"), at("_ref_low"), at("_ref_high")
     )
@@ -78,14 +83,15 @@ def fit_compensated_baseline(
     feature names, ``alpha`` and ``beta``.
     """
     medians = exact_medians(train, spec.features, small_rows=small_rows)
-    at = _param_column(medians)
-    x = _compensated(spec.features, at, k)
-    pairs = train.select(F.col(spec.label).alias("_y"), x.alias("_x"))
-    return pairs.agg(
-        *[at(c).alias(c) for c in spec.features],
-        F.regr_intercept("_y", "_x").alias("alpha"),
-        F.regr_slope("_y", "_x").alias("beta"),
+    bound, at = _bind(train, medians)
+    pairs = bound.select(
+        F.col(spec.label).alias("_y"), _compensated(spec.features, at, k).alias("_x")
+    )
+    line = pairs.agg(
+        F.regr_intercept("_y", "_x").alias("alpha"), F.regr_slope("_y", "_x").alias("beta")
     )
+    bound, at = _bind(line, medians)
+    return bound.select(*[at(c).alias(c) for c in spec.features], "alpha", "beta")
 
 
 def apply_compensated_baseline(
@@ -101,9 +107,10 @@ def apply_compensated_baseline(
     ``everywhere`` also scores rows without any feature, from the medians alone, as
     a model that imputes does with the rows it is trained and tested on.
     """
-    at = _param_column(params)
+    bound, at = _bind(df, params)
     value = affine(_compensated(spec.features, at, k), at("alpha"), at("beta"))
-    return df.withColumn(out, value if everywhere else masked(any_present(spec.features), value))
+    value = value if everywhere else masked(any_present(spec.features), value)
+    return bound.withColumn(out, value).select(*[c for c in df.columns if c != out], out)
 
 
 def residual(df: DataFrame, label: str, baseline: str = "y_baseline", out: str = "residual") -> DataFrame:

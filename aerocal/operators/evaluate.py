@@ -119,7 +119,7 @@ def error_analysis(
     """
     rows = error_columns(df, reference, measured)
     means = rows.agg(*[F.avg(c).alias(name) for name, c in covariates.items()])
-    center = means.select(F.struct(*means.columns)).scalar()
+    rows = rows.withColumn("_center", means.select(F.struct(*means.columns)).scalar())
     fits = []
     for name, c in covariates.items():
         for kind in ("abs", "pct"):
@@ -130,8 +130,8 @@ def error_analysis(
                     F.lit(kind).alias("error_kind"),
                     F.regr_slope(e, x).alias("slope"),
                     F.regr_intercept(e, x).alias("intercept"),
-                    power_sums(e, x - center[name]).alias("sums"),
-                    center[name].alias("center"),
+                    power_sums(e, x - F.col("_center")[name]).alias("sums"),
+                    F.max(F.col("_center")[name]).alias("center"),
                 )
             )
     packed = rows.agg(
@@ -151,10 +151,10 @@ def curve_points(df: DataFrame, x: str, coefficients: DataFrame) -> DataFrame:
 
     ``coefficients`` is one row with ``q2, q1, q0`` (a line has q2 = 0).
     """
-    q = coefficients.select(F.struct("q2", "q1", "q0")).scalar()
-    xx = F.col(x)
+    xx, q = F.col(x), F.col("_q")
     return (
         df.where(xx.isNotNull())
+        .withColumn("_q", coefficients.select(F.struct("q2", "q1", "q0")).scalar())
         .select(xx.alias("x"), ((q["q2"] * xx + q["q1"]) * xx + q["q0"]).alias("y"))
         .orderBy("x")
     )

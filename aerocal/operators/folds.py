@@ -5,46 +5,62 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aerocal.operators.orderstat import values_at_ranks
+from aerocal.operators.orderstat import SMALL_ROWS, values_at_ranks
 
 
-def fold_starts(df: DataFrame, order: Sequence[str], n_splits: int = 4) -> list[tuple]:
+def fold_starts(
+    df: DataFrame, order: Sequence[str], n_splits: int = 4, small_rows: int = SMALL_ROWS
+) -> list[tuple]:
     """Order keys of the first row of each test fold.
 
     With n rows and t = n // (n_splits + 1), test fold k starts at 0-based row
-    n - (n_splits - k) * t. Only those few ranks are looked up: first in the
-    leading column, then, where its value repeats, in the next column among the
-    rows that share it. Rows must be distinct in ``order``.
+    n - (n_splits - k) * t. Only those few ranks are looked up. Rows must be distinct
+    in ``order``.
     """
-    n = df.select(*order).count()
+    keys = df.select(*order)
+    n = keys.count()
     size = n // (n_splits + 1)
     if size == 0:
         raise ValueError(f"{n} rows are too few for {n_splits} temporal folds")
     ranks = [n - (n_splits - k) * size for k in range(n_splits)]
-    return _keys_at(df.select(*order), list(order), ranks)
+    return _keys_at(keys, list(order), ranks, n, small_rows)
 
 
-def _keys_at(df: DataFrame, order: list[str], ranks: list[int]) -> list[tuple]:
+def _keys_at(df: DataFrame, order: list[str], ranks: list[int], n: int, small_rows: int) -> list[tuple]:
+    """Order keys at 0-based ranks among the ``n`` rows of ``df``.
+
+    Few rows are numbered in one window. Otherwise the leading column's values at the
+    ranks are found by counting, and where such a value repeats, the rest of the key
+    is looked up among the rows that share it.
+    """
+    if n <= small_rows:
+        numbered = df.withColumn("_rn", F.row_number().over(W.orderBy(*order)) - 1)
+        near = numbered.where(F.col("_rn").isin(*ranks, *[r - 1 for r in ranks])).collect()
+        found = {row["_rn"]: tuple(row[c] for c in order) for row in near}
+        for rank in ranks:
+            if None in found[rank]:
+                raise ValueError(f"order columns {order} hold nulls")
+            if found.get(rank - 1) == found[rank]:
+                raise ValueError(f"rows repeat in {order}; add a column that tells them apart")
+        return [found[rank] for rank in ranks]
     lead, rest = order[0], order[1:]
-    rows = values_at_ranks(df, lead, lambda n: [F.lit(r) for r in ranks]).collect()
-    found = {r["rank_no"]: r for r in rows}
-    if len(found) < len(ranks):
+    rows = values_at_ranks(df, lead, lambda _: [F.lit(r) for r in ranks]).collect()
+    hits = {row["rank_no"]: row for row in rows}
+    if len(hits) < len(ranks) or hits[0]["n"] < n:
         raise ValueError(f"order column {lead!r} holds nulls")
     keys = []
     for i, rank in enumerate(ranks):
-        hit = found[i]
-        if hit["n_equal"] == 1 and rest:
-            tail = df.where(F.col(lead) == _literal(df, lead, hit["value"])).select(*rest).first()
-            keys.append((hit["value"], *tail))
-        elif rest:
-            same = df.where(F.col(lead) == _literal(df, lead, hit["value"])).select(*rest)
-            keys.append((hit["value"], *_keys_at(same, rest, [rank - hit["n_less"]])[0]))
-        elif hit["n_equal"] == 1:
-            keys.append((hit["value"],))
-        else:
+        value, shared = hits[i]["value"], hits[i]["n_equal"]
+        if not rest and shared > 1:
             raise ValueError(f"rows repeat in {order}; add a column that tells them apart")
+        tail = ()
+        if rest:
+            same = df.where(F.col(lead) == _literal(df, lead, value)).select(*rest)
+            tail = _keys_at(same, rest, [rank - hits[i]["n_less"]], shared, small_rows)[0]
+        keys.append((value, *tail))
     return keys
 
 

@@ -104,14 +104,15 @@ def prepare_residual(
 ) -> tuple[Baseline, DataFrame]:
     """Fitted baseline, and the labelled rows with baseline and residual.
 
-    The rows are written to the shared folder: every fit and fold reads them.
+    The labelled rows are written to the shared folder first: every fit and fold reads
+    those files, and nothing upstream of them runs twice.
     """
     require_columns(table, [spec.label, *spec.features])
-    rows = labelled_splits(table, spec, split)
+    rows = materialise(labelled_splits(table, spec, split), "labelled")
     require_splits(rows)
     baseline = Baseline.fit(rows.where("split = 'train'"), spec)
-    rows = residual(baseline.apply(rows, everywhere=True), spec.label, BASELINE, RESIDUAL)
-    return baseline, materialise(rows, "residual")
+    scored = baseline.apply(rows, everywhere=True)
+    return baseline, residual(scored, spec.label, BASELINE, RESIDUAL)
 
 
 def _study(

@@ -32,14 +32,16 @@ def read_station_files(spark: SparkSession, paths: str | Sequence[str]) -> DataF
         .option("quote", "")
         .csv(paths)
     )
-    name = F.url_decode(F.col("_metadata.file_name"))
-    ending = r"([^\s\-]+)-([^\s\-.]+)[.][^.]*$"
+    path = F.url_decode(F.col("_metadata.file_path"))
+    # An export is one file, or a folder of part files with the file's name.
+    export = F.regexp_replace(path, r"/part-[^/]*$", "")
+    ending = r"([^\s\-/=]+)-([^\s\-./]+)[.][^./]*$"
     cells = F.transform(F.split("line", ","), lambda c: F.btrim(c, F.lit('" ')))
     return raw.select(
         cells.alias("cells"),
-        F.col("_metadata.file_path").alias("file"),
-        F.lower(F.regexp_extract(name, ending, 1)).alias("variable"),
-        F.lower(F.regexp_extract(name, ending, 2)).alias("month_name"),
+        export.alias("file"),
+        F.lower(F.regexp_extract(export, ending, 1)).alias("variable"),
+        F.lower(F.regexp_extract(export, ending, 2)).alias("month_name"),
     )
 
 

@@ -103,6 +103,11 @@ def shipments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily means per sensor, only days with readings: all that labelled rows need."""
+    return resample(shipments(spark, sf), ["sensor_id"], every="1 day", fill_gaps=False)
+
+
 def fused(spark: SparkSession, sf: str) -> DataFrame:
     """Daily means per sensor on a gap-free grid: what the models train on."""
     return resample(shipments(spark, sf), ["sensor_id"], every="1 day")

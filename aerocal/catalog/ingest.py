@@ -16,7 +16,7 @@ from aerocal.catalog.frames import (
     READINGS_SQL,
     SPEC,
     WIDE_SQL,
-    fused,
+    daily,
     grid,
     readings,
 )
@@ -28,7 +28,7 @@ from aerocal.operators.models import fit_model, labelled_splits, predict
 from aerocal.plans.compensation import compensation_study
 from aerocal.plans.fusion import fuse_sensor
 from aerocal.plans.station import combine_months, normalise_station, write_station
-from aerocal.session import scratch_path
+from aerocal.session import materialise, scratch_path
 from aerocal.sinks import save_model, summary_lines, write_monthly, write_table
 from aerocal.sources import (
     load_model,
@@ -173,7 +173,8 @@ hours AS (
 ),
 spine AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM hours),
 station AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS o3_ref FROM readings WHERE variable = 'view' GROUP BY 1)
-SELECT {ls("s.ts")} AS ts, {rs("o3")} AS O3_lcs_ppb, {rs("co / 1000")} AS CO_lcs_ppm, {rs("t")} AS Temp_lcs, {rs("h")} AS RH_lcs, {rs("o3_ref")} AS O3_ref
+SELECT {ls("s.ts")} AS ts, {rs("o3", 8)} AS O3_lcs_ppb, {rs("co / 1000", 8)} AS CO_lcs_ppm, {rs("t", 8)} AS Temp_lcs,
+  {rs("h", 8)} AS RH_lcs, {rs("o3_ref", 8)} AS O3_ref
 FROM spine s LEFT JOIN hours x ON x.ts = s.ts LEFT JOIN station r ON r.ts = s.ts"""
 )
 def sensor_report_fused(spark, sf):
@@ -184,11 +185,11 @@ def sensor_report_fused(spark, sf):
     )
     out = fuse_sensor(report, reference)
     columns = ["O3_lcs_ppb", "CO_lcs_ppm", "Temp_lcs", "RH_lcs", "O3_ref"]
-    return out.select(label("ts").alias("ts"), *[r(c).alias(c) for c in columns])
+    return out.select(label("ts").alias("ts"), *[r(c, 8).alias(c) for c in columns])
 
 
 _STUDY = f"""WITH {GRID_SQL},
-ref_rows AS (SELECT ts, round(value, 3) + 1 AS o3 FROM grid WHERE variable = 'view'),
+ref_rows AS (SELECT ts, value + 1 AS o3 FROM grid WHERE variable = 'view'),
 ref_n AS (SELECT *, row_number() OVER (ORDER BY ts) AS pos FROM ref_rows),
 sen AS (
   SELECT date_trunc('hour', date_trunc('second', ts) + INTERVAL 1 HOUR) AS ts, avg(value) AS o3, avg(k / 4) AS t, avg(k) AS h
@@ -266,7 +267,7 @@ def _study(spark, sf: str):
         F.date_format("ts", "yyyy-MM-dd").alias("Fecha"),
         F.hour("ts").alias("Hora"),
         F.lit(None).cast("double").alias("ccaco"),
-        (F.round("value", 3) + 1).alias("ccao3"),
+        (F.col("value") + 1).alias("ccao3"),
         F.lit(None).cast("double").alias("ccapm2"),
     )
     met = raw.select(
@@ -312,7 +313,7 @@ def metric_summary_lines(spark, sf):
 @query()
 def model_roundtrip(spark, sf):
     """A saved and reloaded model scores as the fitted one: largest difference is zero."""
-    rows = labelled_splits(fused(spark, sf), SPEC, SplitSpec())
+    rows = materialise(labelled_splits(daily(spark, sf), SPEC, SplitSpec()), "splits")
     model = fit_model(rows.where("split = 'train'"), SPEC.features, SPEC.label)
     again = load_model(save_model(model, scratch_path(spark, "model")))
     both = predict(again, predict(model, rows, "a"), "b")

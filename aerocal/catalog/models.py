@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerocal.catalog.frames import BASELINE_SQL, SPEC, SPLIT_SQL, fused
+from aerocal.catalog.frames import BASELINE_SQL, SPEC, SPLIT_SQL, daily, fused
 from aerocal.catalog.registry import label, ls, query, r, rs
 from aerocal.config import Candidate, ForestParams, KernelParams, RidgeParams, SplitSpec, default_ridge_grid
 from aerocal.functions import all_present
@@ -67,7 +67,8 @@ scored AS (SELECT f.*, intercept + w0 * fo3 + w1 * ft + w2 * fh AS pred FROM fil
 
 
 def _splits(spark, sf) -> DataFrame:
-    return labelled_splits(fused(spark, sf), SPEC, SplitSpec())
+    """Labelled rows, written once: a fit reads them several times."""
+    return materialise(labelled_splits(daily(spark, sf), SPEC, SplitSpec()), "splits")
 
 
 def _coefficients(spark, model) -> DataFrame:
@@ -120,7 +121,7 @@ def full_period_linear(spark, sf):
 )
 def ridge_residual(spark, sf):
     """Ridge on the scaled features, fitted to the residual of the baseline."""
-    _, rows = prepare_residual(fused(spark, sf), SPEC)
+    _, rows = prepare_residual(daily(spark, sf), SPEC)
     model = fit_model(rows.where("split = 'train'"), SPEC.features, "residual", RidgeParams(5.0))
     return _coefficients(spark, model)
 
@@ -131,7 +132,7 @@ def _metric_rows(metrics: DataFrame) -> DataFrame:
 
 @query()
 def rf_direct(spark, sf):
-    rows = materialise(_splits(spark, sf), "splits")
+    rows = _splits(spark, sf)
     params = ForestParams(trees=20, max_depth=8, min_leaf=2, max_bins=64)
     model = fit_model(rows.where("split = 'train'"), SPEC.features, SPEC.label, params)
     return _metric_rows(
@@ -142,7 +143,7 @@ def rf_direct(spark, sf):
 @query()
 def rf_residual(spark, sf):
     params = ForestParams(trees=20, max_depth=8, min_leaf=2, max_bins=64)
-    return _metric_rows(forest_residual(fused(spark, sf), SPEC, params=params).metrics)
+    return _metric_rows(forest_residual(daily(spark, sf), SPEC, params=params).metrics)
 
 
 _ORDER = ("ts", "sensor_id")

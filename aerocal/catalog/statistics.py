@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerocal.catalog.frames import BASELINE_SQL, SPEC, WIDE_SQL, fused, table, wide
+from aerocal.catalog.frames import BASELINE_SQL, SPEC, WIDE_SQL, daily, table, wide
 from aerocal.catalog.registry import label, ls, query, r, rs
 from aerocal.config import SplitSpec
 from aerocal.functions import (
@@ -36,7 +36,7 @@ from aerocal.operators.models import labelled_splits
 
 def baseline_rows(spark, sf):
     """Labelled rows with the compensated baseline fitted on the train months."""
-    rows = labelled_splits(fused(spark, sf), SPEC, SplitSpec())
+    rows = labelled_splits(daily(spark, sf), SPEC, SplitSpec())
     params = fit_compensated_baseline(rows.where("split = 'train'"), SPEC)
     return apply_compensated_baseline(rows, SPEC, params, "y_baseline", everywhere=True)
 
@@ -47,21 +47,21 @@ SELECT {rs("mo3")} AS O3_lcs_ppb, {rs("mt")} AS Temp_lcs, {rs("mh")} AS RH_lcs,
        {rs("alpha")} AS alpha, {rs("beta")} AS beta FROM med, line"""
 )
 def baseline_parameters(spark, sf):
-    rows = labelled_splits(fused(spark, sf), SPEC, SplitSpec()).where("split = 'train'")
+    rows = labelled_splits(daily(spark, sf), SPEC, SplitSpec()).where("split = 'train'")
     out = fit_compensated_baseline(rows, SPEC)
     return out.select(*[r(c).alias(c) for c in (*SPEC.features, "alpha", "beta")])
 
 
 @query(
     f"""WITH {BASELINE_SQL}
-SELECT sensor_id, {ls("ts")} AS ts, split, {rs("y", 8)} AS y, {rs("yb", 4)} AS y_baseline FROM based"""
+SELECT sensor_id, {ls("ts")} AS ts, split, {rs("y", 10)} AS y, {rs("yb", 4)} AS y_baseline FROM based"""
 )
 def baseline_affine(spark, sf):
     return baseline_rows(spark, sf).select(
         "sensor_id",
         label("ts").alias("ts"),
         "split",
-        r("O3_ref", 8).alias("y"),
+        r("O3_ref", 10).alias("y"),
         r("y_baseline", 4).alias("y_baseline"),
     )
 
@@ -89,7 +89,7 @@ def metrics_by_split(spark, sf):
 @query(
     f"""WITH {BASELINE_SQL}
 SELECT sensor_id, {ls("ts")} AS ts, {rs("y - yb", 4)} AS residual, {rs("abs(y - yb)", 4)} AS abs_residual,
-       {rs("sqrt(pow(y - yb, 2))", 4)} AS root_sq, {rs("y", 8)} AS recombined FROM based"""
+       {rs("sqrt(pow(y - yb, 2))", 4)} AS root_sq, {rs("y", 10)} AS recombined FROM based"""
 )
 def residual_recombine(spark, sf):
     rows = residual(baseline_rows(spark, sf), "O3_ref")
@@ -100,7 +100,7 @@ def residual_recombine(spark, sf):
         r(e, 4).alias("residual"),
         r(F.abs(e), 4).alias("abs_residual"),
         r(F.sqrt(F.pow(e, 2)), 4).alias("root_sq"),
-        r(recombine("y_baseline", "residual"), 8).alias("recombined"),
+        r(recombine("y_baseline", "residual"), 10).alias("recombined"),
     )
 
 
@@ -257,7 +257,7 @@ ends AS (SELECT least(min(y), min(yb), min(fo3)) AS lo, greatest(max(y), max(yb)
 def _july(spark, sf):
     rows = baseline_rows(spark, sf).where(F.month("ts") == 7)
     params = fit_compensated_baseline(
-        labelled_splits(fused(spark, sf), SPEC, SplitSpec()).where("split = 'train'"), SPEC
+        labelled_splits(daily(spark, sf), SPEC, SplitSpec()).where("split = 'train'"), SPEC
     )
     raw = F.coalesce(F.col("O3_lcs_ppb"), params.select("O3_lcs_ppb").scalar())
     return rows.withColumn("raw", raw)

@@ -12,7 +12,7 @@ from aerocal.catalog.frames import (
     SPEC,
     TYPES,
     WIDE_SQL,
-    fused,
+    daily,
     grid,
     hourly,
     readings,
@@ -261,8 +261,7 @@ SELECT f.sensor_id, {ls("ts")} AS ts, {rs("(o3 - a) * (d - c) / nullif(b - a, 0)
 FROM fused f JOIN e ON e.sensor_id = f.sensor_id WHERE o3 IS NOT NULL"""
 )
 def two_point_by_sensor(spark, sf):
-    rows = fused(spark, sf).where(F.col("O3_lcs_ppb").isNotNull())
-    out = two_point_calibrate(rows, "O3_lcs_ppb", "O3_ref", "calibrated", keys=["sensor_id"])
+    out = two_point_calibrate(daily(spark, sf), "O3_lcs_ppb", "O3_ref", "calibrated", keys=["sensor_id"])
     return out.select("sensor_id", label("ts").alias("ts"), r("calibrated", 8).alias("calibrated"))
 
 
@@ -309,7 +308,7 @@ SELECT CASE WHEN month(ts) = 7 THEN 'test' ELSE 'train' END AS split, count(*) A
 FROM fused WHERE y IS NOT NULL AND month(ts) IN (3, 4, 5, 6, 7) GROUP BY 1"""
 )
 def split_counts(spark, sf):
-    rows = labelled_splits(fused(spark, sf), SPEC, SplitSpec())
+    rows = labelled_splits(daily(spark, sf), SPEC, SplitSpec())
     return rows.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("Temp_lcs").alias("n_temp"),

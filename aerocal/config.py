@@ -114,6 +114,8 @@ class KernelParams:
     components: int = 128
     gamma: float | None = None
     epsilon: float = 1.35
+    max_iter: int = 100
+    tolerance: float = 1e-4
     seed: int = 42
 
 

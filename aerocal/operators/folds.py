@@ -47,9 +47,11 @@ def _keys_at(df: DataFrame, order: list[str], ranks: list[int], n: int, small_ro
                 raise ValueError(f"rows repeat in {order}; add a column that tells them apart")
         return [found[rank] for rank in ranks]
     lead, rest = order[0], order[1:]
-    rows = values_at_ranks(df, lead, lambda _: [F.lit(r) for r in ranks]).collect()
-    hits = {row["rank_no"]: row for row in rows}
-    if len(hits) < len(ranks) or hits[0]["n"] < n:
+    targets = [((rank + 0.5) / n, lambda _, rank=rank: [F.lit(rank)]) for rank in ranks]
+    hits = {row["target"]: row for row in values_at_ranks(df, lead, targets).collect()}
+    if len(hits) < len(ranks):
+        raise RuntimeError("a rank fell outside its bracket")
+    if hits[0]["n"] < n:
         raise ValueError(f"order column {lead!r} holds nulls")
     keys = []
     for i, rank in enumerate(ranks):

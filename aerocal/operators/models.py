@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -60,10 +60,6 @@ def _prep_stage(
     return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__")
 
 
-def _inputs(features: Sequence[str]) -> list[str]:
-    return [f"_x_{i}" for i in range(len(features))]
-
-
 class CosineFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Random cosine features whose inner products approximate an RBF kernel.
 
@@ -98,55 +94,75 @@ class CosineFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return df.withColumn(self.getOrDefault(self.outputCol), out)
 
 
-def _column_stats(df: DataFrame, features: Sequence[str], medians: Mapping[str, float]) -> tuple[dict, dict]:
-    """Mean and population deviation of the imputed features; zero deviation -> 1."""
-    filled = [F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in features]
-    row = df.agg(
-        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)],
-        *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)],
-    ).first()
-    means = {c: row[f"m{i}"] for i, c in enumerate(features)}
-    scales = {c: row[f"s{i}"] or 1.0 for i, c in enumerate(features)}
-    return means, scales
-
-
-def prepare_stages(
-    train: DataFrame,
-    features: Sequence[str],
-    params: ModelParams = None,
-    small_rows: int = SMALL_ROWS,
-) -> list:
-    """Stages from raw columns to the feature vector, fitted on ``train`` only.
-
-    Plain models and forests impute medians; ridge also divides by the deviation
-    without centring; the kernel model standardises and expands.
-    """
-    medians = exact_medians(train, features, small_rows=small_rows).first().asDict()
-    features = [c for c in features if medians[c] is not None]
-    if not features:
-        raise ValueError("no feature has a value in the training rows")
-    medians = {c: float(medians[c]) for c in features}
-    if isinstance(params, RidgeParams):
-        _, scale = _column_stats(train, features, medians)
-        prep = _prep_stage(features, medians, scale=scale)
-    elif isinstance(params, KernelParams):
-        shift, scale = _column_stats(train, features, medians)
-        prep = _prep_stage(features, medians, shift, scale)
-        # The inputs have unit variance, so the data-scaled width is 1 / p.
-        gamma = params.gamma if params.gamma is not None else 1.0 / len(features)
-        return [
-            prep,
-            CosineFeatures(
-                inputCols=_inputs(features),
+@dataclass(frozen=True)
+class Preparation:
+    """What a fit needs to know of its train rows, taken from those rows only."""
+
+    n: int
+    label_std: float
+    medians: Mapping[str, float]
+    means: Mapping[str, float]
+    scales: Mapping[str, float]
+
+    @classmethod
+    def fit(
+        cls,
+        train: DataFrame,
+        features: Sequence[str],
+        label: str,
+        scaled: bool = False,
+        small_rows: int = SMALL_ROWS,
+    ) -> Preparation:
+        """Two small jobs, and a third for means and deviations when ``scaled``.
+
+        Features without any value are left out of ``medians``.
+        """
+        row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
+        if not row["n"]:
+            raise ValueError("no training rows")
+        found = exact_medians(train, features, small_rows=small_rows, rows=row["n"]).first()
+        medians = {c: float(found[c]) for c in features if found[c] is not None}
+        means, scales = {}, {}
+        if scaled:
+            filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()}
+            stats = train.agg(
+                *[
+                    F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+                    for x in filled.values()
+                ]
+            ).first()
+            for c, (mean, std) in zip(filled, stats, strict=True):
+                means[c], scales[c] = mean, std or 1.0
+        return cls(row["n"], row["s"] or 0.0, medians, means, scales)
+
+    def stages(self, features: Sequence[str], params: ModelParams = None) -> list:
+        """Transformers from raw columns to the feature vector.
+
+        Plain models and forests impute medians; ridge also divides by the deviation
+        without centring; the kernel model standardises and expands.
+        """
+        features = [c for c in features if c in self.medians]
+        if not features:
+            raise ValueError("no feature has a value in the training rows")
+        inputs = [f"_x_{i}" for i in range(len(features))]
+        if isinstance(params, KernelParams):
+            # The inputs have unit variance, so the data-scaled width is 1 / p.
+            gamma = params.gamma if params.gamma is not None else 1.0 / len(features)
+            expand = CosineFeatures(
+                inputCols=inputs,
                 outputCol=FEATURES,
                 components=params.components,
                 gamma=gamma,
                 seed=params.seed,
-            ),
-        ]
-    else:
-        prep = _prep_stage(features, medians)
-    return [prep, VectorAssembler(inputCols=_inputs(features), outputCol=FEATURES)]
+            )
+            return [_prep_stage(features, self.medians, self.means, self.scales), expand]
+        scale = self.scales if isinstance(params, RidgeParams) else None
+        prep = _prep_stage(features, self.medians, scale=scale)
+        return [prep, VectorAssembler(inputCols=inputs, outputCol=FEATURES)]
+
+
+def _needs_scale(params: ModelParams) -> bool:
+    return isinstance(params, RidgeParams | KernelParams)
 
 
 # ---------------------------------------------------------------- estimators
@@ -175,7 +191,8 @@ def estimator(params: ModelParams, label: str, n: int, label_std: float):
             epsilon=params.epsilon,
             standardization=False,
             regParam=1.0 / (params.c * n),
-            maxIter=200,
+            maxIter=params.max_iter,
+            tol=params.tolerance,
             **common,
         )
     subset = params.max_features
@@ -191,11 +208,6 @@ def estimator(params: ModelParams, label: str, n: int, label_std: float):
     )
 
 
-def _label_stats(df: DataFrame, label: str) -> tuple[int, float]:
-    row = df.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
-    return row["n"], row["s"] or 0.0
-
-
 def fit_model(
     train: DataFrame,
     features: Sequence[str],
@@ -203,14 +215,12 @@ def fit_model(
     params: ModelParams = None,
     small_rows: int = SMALL_ROWS,
 ) -> PipelineModel:
-    """Fit imputation, scaling and estimator on ``train``; rows need a label."""
+    """Fit imputation, scaling and estimator on ``train``; rows without label are left out."""
     train = train.where(F.col(label).isNotNull())
-    prep = prepare_stages(train, features, params, small_rows)
-    n, std = _label_stats(train, label)
-    if n == 0:
-        raise ValueError("no training rows")
+    prep = Preparation.fit(train, features, label, _needs_scale(params), small_rows)
     slim = train.select(*features, F.col(label).cast("double").alias(label))
-    return Pipeline(stages=prep + [estimator(params, label, n, std)]).fit(slim)
+    last = estimator(params, label, prep.n, prep.label_std)
+    return Pipeline(stages=[*prep.stages(features, params), last]).fit(slim)
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str, where: Column | None = None) -> DataFrame:
@@ -233,77 +243,71 @@ def linear_coefficients(model: PipelineModel, features: Sequence[str]) -> dict[s
 # ---------------------------------------------------------------- search
 
 
-def cross_validate(
+def search(
     df: DataFrame,
     features: Sequence[str],
+    baseline: str,
     label: str,
-    grid: Iterable[ModelParams],
+    candidates: Iterable[Candidate],
     block: str = "block",
     n_splits: int = 4,
     parallelism: int = 4,
     small_rows: int = SMALL_ROWS,
 ) -> list[dict]:
-    """Mean absolute error of each setting over the expanding folds.
+    """Mean absolute error of every setting of every candidate over expanding folds.
 
     ``df`` carries the fold block of each row. Medians and scales are fitted inside
-    each fold, once per kind of model rather than once per setting. Independent fits
-    are submitted from a few threads, as MLlib's own validators do, so that the
-    cluster is not idle between jobs.
+    each fold, once for all candidates; candidates with the same inputs share one
+    cached feature frame. Independent fits are submitted from a few threads, as
+    MLlib's own validators do, so that the cluster is not idle between jobs.
     """
-    grid = list(grid)
-    errors = [[0.0] * n_splits for _ in grid]
+    table = [
+        {
+            "candidate_no": number,
+            "candidate": c,
+            "features": [*features, baseline] if c.with_baseline else list(features),
+            "params": params,
+            "fold_mae": [],
+        }
+        for number, c in enumerate(candidates)
+        for params in c.grid
+    ]
+    used = list(dict.fromkeys(c for row in table for c in row["features"]))
+    scaled = any(_needs_scale(row["params"]) for row in table)
     for k in range(n_splits):
-        train = df.where(F.col(block) <= k)
-        test = df.where(F.col(block) == k + 1)
-        n, std = _label_stats(train, label)
-        ready: dict[tuple, tuple[DataFrame, DataFrame]] = {}
-        for params in grid:
-            key = _prep_key(params)
+        train, test = df.where(F.col(block) <= k), df.where(F.col(block) == k + 1)
+        prep = Preparation.fit(train, used, label, scaled, small_rows)
+        ready: dict[tuple, list[DataFrame]] = {}
+        for row in table:
+            key = _inputs_key(row)
             if key not in ready:
-                prep = PipelineModel(prepare_stages(train, features, params, small_rows))
-                ready[key] = tuple(
-                    prep.transform(part).select(FEATURES, label).persist() for part in (train, test)
-                )
-
-        def score(i: int, n=n, std=std, ready=ready) -> float:
-            fold_train, fold_test = ready[_prep_key(grid[i])]
-            fitted = estimator(grid[i], label, n, std).fit(fold_train)
+                model = PipelineModel(prep.stages(row["features"], row["params"]))
+                ready[key] = [
+                    model.transform(part).select(FEATURES, label).persist() for part in (train, test)
+                ]
+
+        def score(row: dict, prep=prep, ready=ready) -> float:
+            fold_train, fold_test = ready[_inputs_key(row)]
+            fitted = estimator(row["params"], label, prep.n, prep.label_std).fit(fold_train)
             error = F.avg(F.abs(F.col(PREDICTION) - F.col(label))).alias("mae")
             return fitted.transform(fold_test).agg(error).first()["mae"]
 
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            for i, mae in enumerate(pool.map(score, range(len(grid)))):
-                errors[i][k] = mae
+            for row, mae in zip(table, pool.map(score, table), strict=True):
+                row["fold_mae"].append(mae)
         for parts in ready.values():
             for part in parts:
                 part.unpersist()
-    return [
-        {"params": p, "fold_mae": e, "cv_mae": sum(e) / n_splits}
-        for p, e in zip(grid, errors, strict=True)
-    ]
+    for row in table:
+        row["cv_mae"] = sum(row["fold_mae"]) / n_splits
+    return table
 
 
-def _prep_key(params: ModelParams) -> tuple:
+def _inputs_key(row: dict) -> tuple:
+    params, cols = row["params"], tuple(row["features"])
     if isinstance(params, KernelParams):
-        return (KernelParams, params.components, params.gamma, params.seed)
-    return (RidgeParams,) if isinstance(params, RidgeParams) else (None,)
-
-
-def search(
-    df: DataFrame,
-    features: Sequence[str],
-    baseline: str,
-    label: str,
-    candidates: Iterable[Candidate],
-    **cv,
-) -> list[dict]:
-    """Cross-validate every setting of every candidate, in candidate order."""
-    table = []
-    for number, c in enumerate(candidates):
-        cols = list(features) + ([baseline] if c.with_baseline else [])
-        for row in cross_validate(df, cols, label, c.grid, **cv):
-            table.append({"candidate_no": number, "candidate": c, "features": cols} | row)
-    return table
+        return (*cols, "kernel", params.components, params.gamma, params.seed)
+    return (*cols, "scaled" if isinstance(params, RidgeParams) else "plain")
 
 
 def best_of(table: Sequence[dict]) -> dict:

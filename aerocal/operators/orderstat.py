@@ -1,10 +1,9 @@
 """Exact order statistics without gathering a group in one task.
 
-A value's rank is found by counting. Equal values are merged first, so a value
-that fills a third of the table is one row. The distinct values are cut into
-buckets at approximate quantiles, bucket sizes are added up, and only the buckets
-that hold a wanted rank are sorted. The cut points steer the work only; the result
-is exact whatever they are.
+A quantile sketch brackets each wanted rank between two values. Rows below the bracket
+are only counted, rows inside it are counted per distinct value, and a running sum over
+those values finds the exact one. The sketch decides how much is left to sort, never
+the result: a rank outside its bracket is an error, not an approximation.
 """
 
 from __future__ import annotations
@@ -21,94 +20,75 @@ from aerocal.operators.timeaxis import null_safe_join
 # Below this many input rows that buffer is small whatever the data.
 SMALL_ROWS = 4_000_000
 
+# A bracket holds about 2 * _MARGIN / accuracy of a group's rows between its ends.
+_MARGIN = 3
+
 
 def values_at_ranks(
     df: DataFrame,
     value: str,
-    ranks: Callable[[Column], Sequence[Column]],
+    targets: Sequence[tuple[float, Callable[[Column], Sequence[Column]]]],
     keys: Sequence[str] = (),
-    buckets: int = 128,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Rows of 0-based ranks per group, nulls left out.
 
-    ``ranks`` maps the group's row count to the wanted ranks. Returns the keys and
-    ``rank_no, rank, n, value, n_less, n_equal``.
+    Each target is a share of the rows (0..1) and a function from the group's row count
+    to the ranks near that share. Returns the keys and
+    ``target, rank, n, value, n_less, n_equal``.
+
+    Two passes over (keys, value). The second is combined map-side, so neither a hot
+    group nor a hot value travels row by row; what is sorted per group and target is
+    the distinct values of its bracket.
     """
     keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts_agg = F.percentile_approx("_v", shares, 20 * buckets).alias("_cuts")
-    if keys:
-        cuts = counts.groupBy(*keys).agg(cuts_agg)
-        placed = null_safe_join(counts, cuts, keys)
-    else:
-        placed = counts.withColumn("_cuts", counts.agg(cuts_agg).scalar())
-    bucket = F.size(F.filter(F.array_distinct("_cuts"), lambda cut: cut < F.col("_v")))
-    placed = placed.withColumn("_b", bucket).drop("_cuts")
-
-    # One row per group and bucket from here: windows see at most `buckets` rows.
-    # Each carries the value range it covers. The rows are picked by that range,
-    # so the result holds even if the approximate cuts come out differently when
-    # Spark evaluates them twice.
-    sizes = placed.groupBy(*keys, "_b").agg(
-        F.sum("_c").alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    sizes = sizes.withColumns(
-        {
-            "_before": F.sum("_bc").over(group.orderBy("_b")) - F.col("_bc"),
-            "n": F.sum("_bc").over(group),
-        }
-    )
-    wanted = F.array(*[r.cast("long") for r in ranks(F.col("n"))])
-    wanted = F.transform(wanted, lambda r, i: F.struct(i.alias("rank_no"), r.alias("rank")))
-    here = F.filter(
-        wanted,
-        lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_bc")),
-    )
-    hits = sizes.withColumn("_want", here).where(F.size("_want") > 0)
-    spans = F.collect_list(F.struct("_b", "_lo", "_hi", "_before", "n", "_want")).alias("_spans")
+    slim = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+
+    def at(share: float) -> Column:
+        if share <= 0.0:
+            return F.min("_v")
+        return F.max("_v") if share >= 1.0 else F.percentile_approx("_v", share, accuracy)
+
+    margin = _MARGIN / accuracy
+    spans = [
+        F.struct(F.lit(i).alias("target"), at(s - margin).alias("lo"), at(s + margin).alias("hi"))
+        for i, (s, _) in enumerate(targets)
+    ]
+    bounds = [F.count(F.lit(1)).alias("n"), F.array(*spans).alias("spans")]
     if keys:
-        spanned = null_safe_join(counts, hits.groupBy(*keys).agg(spans), keys)
+        bounded = null_safe_join(slim, slim.groupBy(*keys).agg(*bounds), keys)
     else:
-        spanned = counts.withColumn("_spans", hits.agg(spans).scalar())
-    near = spanned.select(
-        *keys,
-        "_v",
-        "_c",
-        F.inline(
-            F.filter("_spans", lambda s: F.col("_v").between(s["_lo"], s["_hi"]))
+        row = slim.agg(F.struct(*bounds)).scalar()
+        bounded = slim.withColumn("_row", row).select(
+            "_v", F.col("_row.n").alias("n"), F.col("_row.spans").alias("spans")
+        )
+
+    # Per target a row is below its bracket (value left null) or inside it.
+    entry = F.filter("spans", lambda s: F.col("_v") <= s["hi"])
+    entry = F.transform(
+        entry,
+        lambda s: F.struct(
+            s["target"].alias("target"), F.when(F.col("_v") >= s["lo"], F.col("_v")).alias("value")
         ),
     )
-    inside = W.partitionBy(*keys, "_b").orderBy("_v")
-    found = (
-        near.withColumn("n_less", F.col("_before") + F.sum("_c").over(inside) - F.col("_c"))
-        .select(
-            *keys,
-            "n",
-            "n_less",
-            F.col("_c").alias("n_equal"),
-            F.col("_v").alias("value"),
-            F.explode("_want").alias("_w"),
-        )
-        .where(
-            (F.col("_w.rank") >= F.col("n_less"))
-            & (F.col("_w.rank") < F.col("n_less") + F.col("n_equal"))
-        )
+    counted = (
+        bounded.select(*keys, "n", F.inline(entry))
+        .groupBy(*keys, "target", "value")
+        .agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("n_equal"))
     )
-    return found.select(
-        *keys,
-        F.col("_w.rank_no").alias("rank_no"),
-        F.col("_w.rank").alias("rank"),
-        "n",
-        "value",
-        "n_less",
-        "n_equal",
+    running = W.partitionBy(*keys, "target").orderBy(F.asc_nulls_first("value"))
+    placed = counted.withColumn("n_less", F.sum("n_equal").over(running) - F.col("n_equal"))
+
+    wanted = F.lit(None).cast("array<bigint>")
+    for i, (_, ranks) in enumerate(targets):
+        listed = F.array(*[r.cast("bigint") for r in ranks(F.col("n"))])
+        wanted = F.when(F.col("target") == i, listed).otherwise(wanted)
+    hit = placed.select("*", F.explode(wanted).alias("rank")).where(
+        (F.col("rank") >= F.col("n_less")) & (F.col("rank") < F.col("n_less") + F.col("n_equal"))
     )
+    missed = F.raise_error(F.lit("a rank fell outside its bracket"))
+    exact = F.when(F.col("value").isNull(), missed).otherwise(F.col("value"))
+    return hit.select(*keys, "target", "rank", "n", exact.alias("value"), "n_less", "n_equal")
 
 
 def _middle(n: Column) -> list[Column]:
@@ -120,15 +100,17 @@ def exact_medians(
     columns: Sequence[str],
     keys: Sequence[str] = (),
     small_rows: int = SMALL_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Exact median per column, averaging the middle pair; one row per group.
 
     The row count decides the way: up to ``small_rows`` the built-in aggregate
     holds every distinct value safely; beyond that ranks are found by counting.
+    ``rows`` is the count when the caller knows it already.
     """
     columns, keys = list(columns), list(keys)
     slim = df.select(*keys, *columns)
-    if small_rows and slim.count() <= small_rows:
+    if small_rows and (slim.count() if rows is None else rows) <= small_rows:
         return slim.groupBy(*keys).agg(*[F.median(F.col(c)).alias(c) for c in columns])
     return _medians_by_rank(slim, columns, keys)
 
@@ -136,10 +118,15 @@ def exact_medians(
 def _medians_by_rank(slim: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     pairs = [F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in columns]
     long = slim.select(*keys, F.inline(F.array(*pairs)))
-    at = values_at_ranks(long, "_x", _middle, keys + ["_name"])
-    found = at.groupBy(*keys).agg(
-        *[F.avg(F.when(F.col("_name") == c, F.col("value"))).alias(c) for c in columns]
-    )
+    at = values_at_ranks(long, "_x", [(0.5, _middle)], keys + ["_name"])
+    # Two middle ranks per column, equal when the count is odd; none if all are null.
+    missed = F.raise_error(F.lit("a rank fell outside its bracket"))
+
+    def middle(c: str) -> Column:
+        mine = F.when(F.col("_name") == c, F.col("value"))
+        return F.when(F.count(mine).isin(0, 2), F.avg(mine)).otherwise(missed)
+
+    found = at.groupBy(*keys).agg(*[middle(c).alias(c) for c in columns])
     if not keys:
         return found
     # A group with no value at all still has its row, with null medians.

@@ -101,6 +101,28 @@ def _blend(rn: Column, x: Column, before: Column, after: Column, both: bool) ->
     return F.coalesce(*pieces)
 
 
+def _with_neighbours(df: DataFrame, columns: Names, part: Names, order: Names) -> DataFrame:
+    """Add ``_rn`` and, per column, the known (rn, x) at or before (``_p_``) and at or
+    after (``_n_``) each row.
+
+    The forward look is a backward look over the reversed rows: Spark restarts a frame
+    that ends at "unbounded following" on every row, a growing prefix it only extends.
+    """
+    out = df.withColumn(
+        "_rn", F.row_number().over(W.partitionBy(*part).orderBy(*order)).cast("long")
+    )
+    so_far = (W.unboundedPreceding, 0)
+    back = W.partitionBy(*part).orderBy("_rn").rowsBetween(*so_far)
+    fwd = W.partitionBy(*part).orderBy(F.desc("_rn")).rowsBetween(*so_far)
+
+    def known(c: str) -> Column:
+        pair = F.struct(F.col("_rn").alias("rn"), F.col(c).alias("x"))
+        return F.when(F.col(c).isNotNull(), pair)
+
+    out = out.withColumns({f"_p_{c}": F.last(known(c), ignorenulls=True).over(back) for c in columns})
+    return out.withColumns({f"_n_{c}": F.last(known(c), ignorenulls=True).over(fwd) for c in columns})
+
+
 def interpolate(
     grid: DataFrame, columns: Names, keys: Names, ts: str = "ts", both: bool = False
 ) -> DataFrame:
@@ -109,18 +131,8 @@ def interpolate(
     Interior gaps are linear, trailing gaps repeat the last value, leading gaps
     stay null unless ``both``, where they take the first value.
     """
-    w = W.partitionBy(*keys).orderBy(ts)
-    back, fwd = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    out = grid.withColumn("_rn", F.row_number().over(w))
+    out = _with_neighbours(grid, columns, keys, [ts])
     rn = F.col("_rn")
-    for c in columns:
-        known = F.when(F.col(c).isNotNull(), F.struct(rn.alias("rn"), F.col(c).alias("x")))
-        out = out.withColumns(
-            {
-                f"_p_{c}": F.last(known, ignorenulls=True).over(back),
-                f"_n_{c}": F.first(known, ignorenulls=True).over(fwd),
-            }
-        )
     return out.withColumns(
         {c: _blend(rn, F.col(c), F.col(f"_p_{c}"), F.col(f"_n_{c}"), both) for c in columns}
     ).select(*grid.columns)
@@ -146,18 +158,8 @@ def interpolate_raw(
     keys = list(keys)
     part = keys + ["_chunk"]
     cols = df.columns
-    w = W.partitionBy(*part).orderBy(ts, *tie)
-    back, fwd = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
     rows = df.where(F.col(ts).isNotNull()).withColumn("_chunk", time_bin(F.col(ts), chunk))
-    rows = rows.withColumn("_rn", F.row_number().over(w).cast("long"))
-    for c in columns:
-        known = F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("rn"), F.col(c).alias("x")))
-        rows = rows.withColumns(
-            {
-                f"_p_{c}": F.last(known, ignorenulls=True).over(back),
-                f"_n_{c}": F.first(known, ignorenulls=True).over(fwd),
-            }
-        )
+    rows = _with_neighbours(rows, columns, part, [ts, *tie])
 
     # At a chunk's last row the backward neighbour is its last known value; at
     # its first row the forward neighbour is its first known value.
@@ -168,8 +170,9 @@ def interpolate_raw(
             F.min_by(F.col(f"_n_{c}"), F.col("_rn")).alias(f"_head_{c}"),
         ]
     chunks = rows.groupBy(*part).agg(*aggs)
-    wk = W.partitionBy(*keys).orderBy("_chunk")
-    before, after = wk.rowsBetween(W.unboundedPreceding, -1), wk.rowsBetween(1, W.unboundedFollowing)
+    earlier = (W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(*earlier)
+    after = W.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(*earlier)
     chunks = chunks.withColumn("_off", F.coalesce(F.sum("_size").over(before), F.lit(0)))
 
     def placed(name: str) -> Column:
@@ -182,7 +185,7 @@ def interpolate_raw(
         chunks = chunks.withColumns(
             {
                 f"_in_{c}": F.last(placed(f"_tail_{c}"), ignorenulls=True).over(before),
-                f"_out_{c}": F.first(placed(f"_head_{c}"), ignorenulls=True).over(after),
+                f"_out_{c}": F.last(placed(f"_head_{c}"), ignorenulls=True).over(after),
             }
         )
     carries = chunks.select(

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from aerocal.catalog.frames import BASELINE_SQL, SPEC, SPLIT_SQL, daily, fused
 from aerocal.catalog.registry import label, ls, query, r, rs
+from aerocal.catalog.statistics import fitted_baseline
 from aerocal.config import Candidate, ForestParams, KernelParams, RidgeParams, SplitSpec, default_ridge_grid
 from aerocal.functions import all_present
+from aerocal.operators.calibrate import apply_compensated_baseline
 from aerocal.operators.evaluate import model_metrics
 from aerocal.operators.models import (
     best_row,
@@ -201,8 +203,6 @@ FROM fused f, med, line"""
 )
 def full_period_baseline(spark, sf):
     """The compensated baseline over all rows with any feature, train medians."""
-    from aerocal.operators.calibrate import apply_compensated_baseline, fit_compensated_baseline
-
-    params = fit_compensated_baseline(_splits(spark, sf).where("split = 'train'"), SPEC)
+    _, params = fitted_baseline(spark, sf)
     out = apply_compensated_baseline(fused(spark, sf), SPEC, params, "O3_baseline_cal")
     return out.select("sensor_id", label("ts").alias("ts"), r("O3_baseline_cal", 4).alias("O3_baseline_cal"))

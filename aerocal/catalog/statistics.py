@@ -17,6 +17,7 @@ from aerocal.functions import (
 )
 from aerocal.operators.calibrate import (
     apply_compensated_baseline,
+    collect_params,
     fit_compensated_baseline,
     recombine,
     residual,
@@ -32,13 +33,20 @@ from aerocal.operators.evaluate import (
     trend_points,
 )
 from aerocal.operators.models import labelled_splits
+from aerocal.session import materialise
+
+
+def fitted_baseline(spark, sf):
+    """Labelled rows, written once, and the baseline fitted on their train months."""
+    rows = materialise(labelled_splits(daily(spark, sf), SPEC, SplitSpec()), "labelled")
+    return rows, collect_params(fit_compensated_baseline(rows.where("split = 'train'"), SPEC))
 
 
 def baseline_rows(spark, sf):
-    """Labelled rows with the compensated baseline fitted on the train months."""
-    rows = labelled_splits(daily(spark, sf), SPEC, SplitSpec())
-    params = fit_compensated_baseline(rows.where("split = 'train'"), SPEC)
-    return apply_compensated_baseline(rows, SPEC, params, "y_baseline", everywhere=True)
+    """Labelled rows with baseline, and ``raw``: the signal with gaps filled."""
+    rows, params = fitted_baseline(spark, sf)
+    rows = apply_compensated_baseline(rows, SPEC, params, "y_baseline", everywhere=True)
+    return rows.withColumn("raw", F.coalesce(F.col("O3_lcs_ppb"), F.lit(params["O3_lcs_ppb"])))
 
 
 @query(
@@ -79,9 +87,6 @@ FROM {source} GROUP BY 1"""
 )
 def metrics_by_split(spark, sf):
     rows = baseline_rows(spark, sf)
-    params = fit_compensated_baseline(rows.where("split = 'train'"), SPEC)
-    median = params.select("O3_lcs_ppb").scalar()
-    rows = rows.withColumn("raw", F.coalesce(F.col("O3_lcs_ppb"), median))
     out = model_metrics(rows, "O3_ref", {"baseline": "y_baseline", "raw": "raw"}, by=["split"])
     return out.select("split", "model", r("r2").alias("r2"), r("rmse").alias("rmse"), r("mae").alias("mae"), "n")
 
@@ -255,12 +260,7 @@ ends AS (SELECT least(min(y), min(yb), min(fo3)) AS lo, greatest(max(y), max(yb)
 
 
 def _july(spark, sf):
-    rows = baseline_rows(spark, sf).where(F.month("ts") == 7)
-    params = fit_compensated_baseline(
-        labelled_splits(daily(spark, sf), SPEC, SplitSpec()).where("split = 'train'"), SPEC
-    )
-    raw = F.coalesce(F.col("O3_lcs_ppb"), params.select("O3_lcs_ppb").scalar())
-    return rows.withColumn("raw", raw)
+    return baseline_rows(spark, sf).where(F.month("ts") == 7)
 
 
 @query(

@@ -85,13 +85,14 @@ def fit_compensated_baseline(
     medians = exact_medians(train, spec.features, small_rows=small_rows)
     bound, at = _bind(train, medians)
     pairs = bound.select(
-        F.col(spec.label).alias("_y"), _compensated(spec.features, at, k).alias("_x")
+        F.col(spec.label).alias("_y"), _compensated(spec.features, at, k).alias("_x"), "_params"
     )
-    line = pairs.agg(
-        F.regr_intercept("_y", "_x").alias("alpha"), F.regr_slope("_y", "_x").alias("beta")
+    # The medians are constant over the rows, so any aggregate of them carries them on.
+    return pairs.agg(
+        *[F.max(at(c)).alias(c) for c in spec.features],
+        F.regr_intercept("_y", "_x").alias("alpha"),
+        F.regr_slope("_y", "_x").alias("beta"),
     )
-    bound, at = _bind(line, medians)
-    return bound.select(*[at(c).alias(c) for c in spec.features], "alpha", "beta")
 
 
 def apply_compensated_baseline(

@@ -151,15 +151,19 @@ def interpolate_raw(
 
     Windows run per (series, time chunk). Each chunk is reduced to its row count
     and its first and last known value; a window over those summaries gives every
-    chunk its row offset and the neighbours outside it. Chunk rows and summaries
-    share one hash partitioning, so the rows are shuffled once. Rows need a time;
-    ``tie`` makes the order total where times repeat.
+    chunk its row offset and the neighbours outside it. Rows and summaries share one
+    hash partitioning, so joining them back moves only the summaries. Rows without a
+    time are left out; ``tie`` makes the order total where times repeat. Sensors that
+    report by the minute have at most 1,440 rows in a day's chunk; take a shorter chunk
+    for denser series.
     """
     keys = list(keys)
-    part = keys + ["_chunk"]
     cols = df.columns
-    rows = df.where(F.col(ts).isNotNull()).withColumn("_chunk", time_bin(F.col(ts), chunk))
-    rows = _with_neighbours(rows, columns, part, [ts, *tie])
+    # Series and chunk as one struct: never null itself, and null keys inside it are
+    # equal, so windows, summary and join all use the same hash partitioning.
+    part = F.struct(*keys, time_bin(F.col(ts), chunk).alias("_chunk"))
+    rows = df.where(F.col(ts).isNotNull()).withColumn("_part", part)
+    rows = _with_neighbours(rows, columns, ["_part"], [ts, *tie])
 
     # At a chunk's last row the backward neighbour is its last known value; at
     # its first row the forward neighbour is its first known value.
@@ -169,10 +173,12 @@ def interpolate_raw(
             F.max_by(F.col(f"_p_{c}"), F.col("_rn")).alias(f"_tail_{c}"),
             F.min_by(F.col(f"_n_{c}"), F.col("_rn")).alias(f"_head_{c}"),
         ]
-    chunks = rows.groupBy(*part).agg(*aggs)
+    series = [f"_s_{k}" for k in keys]
+    chunks = rows.groupBy("_part").agg(*aggs)
+    chunks = chunks.withColumns({s: F.col("_part")[k] for s, k in zip(series, keys, strict=True)})
     earlier = (W.unboundedPreceding, -1)
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(*earlier)
-    after = W.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(*earlier)
+    before = W.partitionBy(*series).orderBy("_part._chunk").rowsBetween(*earlier)
+    after = W.partitionBy(*series).orderBy(F.desc("_part._chunk")).rowsBetween(*earlier)
     chunks = chunks.withColumn("_off", F.coalesce(F.sum("_size").over(before), F.lit(0)))
 
     def placed(name: str) -> Column:
@@ -189,10 +195,10 @@ def interpolate_raw(
             }
         )
     carries = chunks.select(
-        *part, "_off", *[F.col(f"_{side}_{c}") for c in columns for side in ("in", "out")]
+        "_part", "_off", *[F.col(f"_{side}_{c}") for c in columns for side in ("in", "out")]
     )
 
-    joined = null_safe_join(rows, carries, part, "inner")
+    joined = rows.join(carries, "_part")
     rn = F.col("_rn") + F.col("_off")
     out = {}
     for c in columns:

@@ -138,13 +138,30 @@ def interpolate(
     ).select(*grid.columns)
 
 
+# Widths tried for a chunk, widest first, and the rows one chunk may hold.
+CHUNK_WIDTHS = ("1 day", "1 hour", "1 minute", "1 second", "1 millisecond")
+CHUNK_ROWS = 1_000_000
+
+
+def chunk_width(df: DataFrame, keys: Names, ts: str = "ts", rows: int = CHUNK_ROWS) -> str:
+    """Widest chunk whose fullest (series, chunk) stays within ``rows``.
+
+    Counts per chunk are combined map-side and only their maximum leaves the cluster.
+    """
+    for width in CHUNK_WIDTHS:
+        sizes = df.where(F.col(ts).isNotNull()).groupBy(*keys, time_bin(F.col(ts), width)).count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= rows:
+            return width
+    return CHUNK_WIDTHS[-1]
+
+
 def interpolate_raw(
     df: DataFrame,
     columns: Names,
     keys: Names,
     ts: str = "ts",
     both: bool = False,
-    chunk: str = "1 day",
+    chunk: str | None = None,
     tie: Names = (),
 ) -> DataFrame:
     """:func:`interpolate` for raw rows, whatever the size of a series.
@@ -153,11 +170,11 @@ def interpolate_raw(
     and its first and last known value; a window over those summaries gives every
     chunk its row offset and the neighbours outside it. Rows and summaries share one
     hash partitioning, so joining them back moves only the summaries. Rows without a
-    time are left out; ``tie`` makes the order total where times repeat. Sensors that
-    report by the minute have at most 1,440 rows in a day's chunk; take a shorter chunk
-    for denser series.
+    time are left out; ``tie`` makes the order total where times repeat. Without
+    ``chunk`` its width follows the densest series (:func:`chunk_width`).
     """
     keys = list(keys)
+    chunk = chunk or chunk_width(df, keys, ts)
     cols = df.columns
     # Series and chunk as one struct: never null itself, and null keys inside it are
     # equal, so windows, summary and join all use the same hash partitioning.

@@ -46,11 +46,9 @@ def normalise_station(
 
     Unusable files and empty months are left out, or raise when ``strict``.
     """
-    raw = read_station_files(spark, paths).where(
-        F.col("month_name").isin([m.lower() for m in months])
-        & F.col("variable").isin(list(variables))
-    )
-    report = file_report(raw, station)
+    raw = read_station_files(spark, paths)
+    wanted = F.col("month_name").isin([m.lower() for m in months]) & F.col("variable").isin(list(variables))
+    report = file_report(raw, station).where(wanted)
     missing = missing_files(raw, months, variables)
     if strict:
         require_usable(report)

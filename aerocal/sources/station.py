@@ -20,10 +20,11 @@ BROADCAST_FILES = 50_000
 
 
 def read_station_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All files of a glob: ``cells`` (array of text), file, variable and month name.
+    """All lines of a glob with the path they come from: ``line, path``.
 
     Files may differ in column count and order, so each line is read as one text and
-    split here; a schema of fixed width would make every shorter line malformed.
+    split later; a schema of fixed width would make every shorter line malformed. What
+    a path means is worked out per file, in :func:`list_files`, not per line.
     """
     raw = (
         spark.read.schema("line string")
@@ -32,48 +33,59 @@ def read_station_files(spark: SparkSession, paths: str | Sequence[str]) -> DataF
         .option("quote", "")
         .csv(paths)
     )
-    path = F.url_decode(F.col("_metadata.file_path"))
-    # An export is one file, or a folder of part files with the file's name.
-    export = F.regexp_replace(path, r"/part-[^/]*$", "")
+    return raw.select("line", _plain(F.col("_metadata.file_path")).alias("path"))
+
+
+def _plain(path: Column) -> Column:
+    """The listing writes ``file:///a`` where the file metadata writes ``file:/a``."""
+    return F.replace(path, F.lit("file:///"), F.lit("file:/"))
+
+
+def list_files(raw: DataFrame) -> DataFrame:
+    """One row per path: ``path, file, variable, month_name``, from Spark's file listing.
+
+    An export is one file, or a folder of part files with the file's name.
+    """
+    paths = raw.sparkSession.createDataFrame([(p,) for p in raw.inputFiles()], "path string")
+    file = F.regexp_replace(F.url_decode("path"), r"/part-[^/]*$", "")
     ending = r"([^\s\-/=]+)-([^\s\-./]+)[.][^./]*$"
-    cells = F.transform(F.split("line", ","), lambda c: F.btrim(c, F.lit('" ')))
-    return raw.select(
-        cells.alias("cells"),
-        export.alias("file"),
-        F.lower(F.regexp_extract(export, ending, 1)).alias("variable"),
-        F.lower(F.regexp_extract(export, ending, 2)).alias("month_name"),
+    return paths.select(_plain(F.col("path")).alias("path"), file.alias("file")).select(
+        "path",
+        "file",
+        F.lower(F.regexp_extract("file", ending, 1)).alias("variable"),
+        F.lower(F.regexp_extract("file", ending, 2)).alias("month_name"),
     )
 
 
+def _cells(line: Column) -> Column:
+    return F.transform(F.split(line, ","), lambda c: F.btrim(c, F.lit('" ')))
+
+
 def file_report(raw: DataFrame, station: str) -> DataFrame:
     """One row per file: where each needed column is, and whether the file is usable.
 
     A file is ``no_header`` without a row that starts with ``fecha`` in any case, and
     ``bad_columns`` when that row lacks ``Fecha``, ``Hora`` or the station.
     """
-    is_head = clean_text(F.col("cells")[0]) == "fecha"
-
-    def position(name: str) -> Column:
-        return F.max(F.when(is_head, F.array_position("cells", name).cast("int")))
-
+    first = F.btrim(F.split("line", ",", 2)[0], F.lit('" '))
+    heads = raw.where(clean_text(first) == "fecha").select("path", _cells(F.col("line")).alias("cells"))
     names = {"day": "Fecha", "hour": "Hora", "value": station}
-    return (
-        raw.groupBy("file", "variable", "month_name")
-        .agg(*[position(n).alias(f"_{k}") for k, n in names.items()])
-        .withColumn(
-            "at",
-            F.when(F.col("_day").isNotNull(), F.struct(*[F.col(f"_{k}").alias(k) for k in names])),
-        )
-        .drop(*[f"_{k}" for k in names])
-        .withColumn(
-            "status",
-            F.when(F.col("at").isNull(), "no_header")
-            .when(
-                (F.col("at.day") == 0) | (F.col("at.hour") == 0) | (F.col("at.value") == 0),
-                "bad_columns",
-            )
-            .otherwise("ok"),
-        )
+    found = heads.groupBy("path").agg(
+        *[F.max(F.array_position("cells", n).cast("int")).alias(k) for k, n in names.items()]
+    )
+    files = (
+        list_files(raw)
+        .join(found, "path", "left")
+        .groupBy("file", "variable", "month_name")
+        .agg(*[F.max(k).alias(k) for k in names])
+    )
+    absent = (F.col("day") == 0) | (F.col("hour") == 0) | (F.col("value") == 0)
+    return files.select(
+        "file",
+        "variable",
+        "month_name",
+        F.struct(*names).alias("at"),
+        F.when(F.col("day").isNull(), "no_header").when(absent, "bad_columns").otherwise("ok").alias("status"),
     )
 
 
@@ -98,7 +110,7 @@ def missing_files(
     expected = spark.createDataFrame(
         [(v, m.lower()) for v in variables for m in months], "variable string, month_name string"
     )
-    found = raw.select("variable", "month_name").distinct()
+    found = list_files(raw).select("variable", "month_name").distinct()
     return expected.join(found, ["variable", "month_name"], "left_anti")
 
 
@@ -131,14 +143,17 @@ def station_readings(
     date or hour does not parse goes to the quarantine with its text.
     """
     report = file_report(raw, station) if report is None else report
-    at = report.where(F.col("status") == "ok").select("file", "at")
+    usable = report.where(F.col("status") == "ok").select("file", "at")
+    at = list_files(raw).join(usable, "file").select(
+        "path", "file", "variable", month_number(F.col("month_name")).alias("month"), "at"
+    )
     if len(raw.inputFiles()) <= BROADCAST_FILES:
         at = F.broadcast(at)
-    rows = raw.join(at, "file").select(
+    rows = raw.join(at, "path").withColumn("cells", _cells(F.col("line"))).select(
         F.lit(station).alias("station_id"),
         "file",
         "variable",
-        month_number(F.col("month_name")).alias("month"),
+        "month",
         _cell("at.day").alias("day_text"),
         _cell("at.hour").alias("hour_text"),
         _cell("at.value").alias("value_text"),

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from aerocal.operators.timeaxis import (
+    chunk_width,
     dedupe_first,
     fill_time_gaps,
     interpolate,
@@ -95,3 +96,14 @@ def test_dedupe_is_deterministic_and_pruned_early(spark):
     assert sorted(out.collect(), key=str) == sorted([(1, "a", 1), (None, "y", 1)], key=str)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_chunk_width_follows_the_densest_series(spark):
+    base = dt.datetime(2024, 1, 1)
+    burst = [("hot", base + dt.timedelta(seconds=i), 1.0) for i in range(300)]
+    calm = [("calm", base + dt.timedelta(hours=i), 1.0) for i in range(100)]
+    df = spark.createDataFrame(burst + calm, "key string, ts timestamp_ntz, x double")
+    assert chunk_width(df, ["key"], rows=1000) == "1 day"
+    assert chunk_width(df, ["key"], rows=100) == "1 minute"
+    assert chunk_width(df, ["key"], rows=10) == "1 second"
+    assert chunk_width(df.limit(0), ["key"], rows=10) == "1 day"

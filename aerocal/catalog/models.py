@@ -12,12 +12,15 @@ from aerocal.config import Candidate, ForestParams, KernelParams, RidgeParams, S
 from aerocal.functions import all_present
 from aerocal.operators.calibrate import apply_compensated_baseline
 from aerocal.operators.evaluate import model_metrics
+from aerocal.operators.folds import fold_starts, with_fold_block
 from aerocal.operators.models import (
     best_row,
     fit_model,
     labelled_splits,
     linear_coefficients,
     predict,
+    search,
+    search_table,
 )
 from aerocal.plans.residual import (
     compare_on_month,
@@ -31,6 +34,7 @@ from aerocal.plans.residual import (
 from aerocal.session import materialise
 
 _FEATURES = ("fo3", "ft", "fh")
+_ORDER = ("ts", "sensor_id")
 
 
 def _det3(m: list[list[str]]) -> str:
@@ -38,7 +42,7 @@ def _det3(m: list[list[str]]) -> str:
     return f"(({a}) * (({e}) * ({i}) - ({f}) * ({h})) - ({b}) * (({d}) * ({i}) - ({f}) * ({g})) + ({c}) * (({d}) * ({h}) - ({e}) * ({g})))"
 
 
-def _solve_sql(y: str, source: str, alpha: float = 0.0, scaled: bool = False) -> str:
+def _solve_sql(y: str, source: str, alpha: float = 0.0, scaled: bool = False, tag: str = "") -> str:
     """SQL of a three-feature least-squares or ridge fit, by determinants."""
     x = [f"({c} / s{i})" if scaled else c for i, c in enumerate(_FEATURES)]
     stats = ", ".join(f"(SELECT stddev_pop({c}) FROM {source} WHERE split = 'train') AS s{i}" for i, c in enumerate(_FEATURES))
@@ -57,11 +61,11 @@ def _solve_sql(y: str, source: str, alpha: float = 0.0, scaled: bool = False) ->
         for k in range(3)
     ]
     return f"""
-scales AS (SELECT {stats}),
-mom AS (SELECT count(*) AS n, avg({y}) AS my, {", ".join(cov + rhs + means)}
-        FROM {source}, scales WHERE split = 'train'),
-w AS (SELECT {", ".join(weights)}, m0, m1, m2, my FROM mom),
-coef AS (SELECT w0, w1, w2, my - w0 * m0 - w1 * m1 - w2 * m2 AS intercept FROM w)"""
+scales{tag} AS (SELECT {stats}),
+mom{tag} AS (SELECT count(*) AS n, avg({y}) AS my, {", ".join(cov + rhs + means)}
+        FROM {source}, scales{tag} WHERE split = 'train'),
+w{tag} AS (SELECT {", ".join(weights)}, m0, m1, m2, my FROM mom{tag}),
+coef{tag} AS (SELECT w0, w1, w2, my - w0 * m0 - w1 * m1 - w2 * m2 AS intercept FROM w{tag})"""
 
 
 _OLS = f"""{SPLIT_SQL}, {_solve_sql("y", "filled")},
@@ -128,6 +132,87 @@ def ridge_residual(spark, sf):
     return _coefficients(spark, model)
 
 
+_ALPHAS = tuple(p.alpha for p in default_ridge_grid())
+
+
+def _fold_sql(k: int) -> str:
+    """Rows of fold k with the medians of its train blocks filled in."""
+    return f"""
+med{k} AS (SELECT median(o3) AS a, median(t) AS b, median(h) AS c FROM blocks WHERE block <= {k}),
+fold{k} AS (
+  SELECT e, CASE WHEN block <= {k} THEN 'train' ELSE 'test' END AS split,
+    coalesce(o3, a) AS fo3, coalesce(t, b) AS ft, coalesce(h, c) AS fh
+  FROM blocks, med{k} WHERE block <= {k + 1}
+)"""
+
+
+def _fold_mae_sql(k: int, alpha: float) -> str:
+    tag = f"_{k}_{_ALPHAS.index(alpha)}"
+    return f"""
+SELECT {alpha}e0 AS alpha, avg(abs(e - (intercept + w0 * fo3 / s0 + w1 * ft / s1 + w2 * fh / s2))) AS mae
+FROM fold{k}, scales{tag}, coef{tag} WHERE split = 'test'"""
+
+
+_SEARCH = f"""{BASELINE_SQL},
+ranked AS (
+  SELECT o3, t, h, y - yb AS e, row_number() OVER (ORDER BY ts, sensor_id) - 1 AS rn, count(*) OVER () AS n
+  FROM based WHERE split = 'train'
+),
+blocks AS (SELECT *, CASE WHEN rn < n - 4 * (n // 5) THEN 0 ELSE 1 + (rn - (n - 4 * (n // 5))) // (n // 5) END AS block FROM ranked),
+{",".join(_fold_sql(k) for k in range(4))},
+{",".join(_solve_sql("e", f"fold{k}", a, True, f"_{k}_{i}") for k in range(4) for i, a in enumerate(_ALPHAS))},
+maes AS ({" UNION ALL ".join(_fold_mae_sql(k, a) for k in range(4) for a in _ALPHAS)})"""
+
+
+@query(f"WITH {_SEARCH} SELECT 'alpha=' || alpha AS params, {rs('avg(mae)')} AS cv_mae FROM maes GROUP BY alpha")
+def ridge_search(spark, sf):
+    """Every ridge penalty over four temporal folds, medians and scales fitted per fold."""
+    _, rows = prepare_residual(daily(spark, sf), SPEC)
+    train = rows.where("split = 'train'")
+    blocks = with_fold_block(train, _ORDER, fold_starts(train, _ORDER))
+    grid = [Candidate("Ridge", default_ridge_grid())]
+    found = search(blocks, SPEC.features, "y_baseline", "residual", grid)
+    return search_table(spark, found).select("params", r("cv_mae").alias("cv_mae"))
+
+
+@query(
+    f"""WITH {_SEARCH}, best AS (SELECT alpha, avg(mae) AS cv_mae FROM maes GROUP BY 1)
+SELECT 'Ridge' AS candidate, 'alpha=' || alpha AS params, {rs("cv_mae")} AS cv_mae FROM best
+ORDER BY best.cv_mae, alpha LIMIT 1"""
+)
+def best_ridge(spark, sf):
+    """The penalty with the smallest mean error."""
+    _, rows = prepare_residual(daily(spark, sf), SPEC)
+    train = rows.where("split = 'train'")
+    blocks = with_fold_block(train, _ORDER, fold_starts(train, _ORDER))
+    found = search(blocks, SPEC.features, "y_baseline", "residual", [Candidate("Ridge", default_ridge_grid())])
+    best = best_row(search_table(spark, found))
+    return best.select("candidate", "params", r("cv_mae").alias("cv_mae"))
+
+
+_MONTH = f"""WITH {BASELINE_SQL}, {_solve_sql("y", "filled")},
+july AS (SELECT y, yb, intercept + w0 * fo3 + w1 * ft + w2 * fh AS lin FROM based, coef WHERE month(ts) = 7)"""
+
+
+def _month_sql(model: str, column: str) -> str:
+    return f"""SELECT '{model}' AS model, {rs(f"1 - sum(pow(y - {column}, 2)) / (var_pop(y) * count(y))")} AS r2,
+  {rs(f"sqrt(avg(pow(y - {column}, 2)))")} AS rmse, {rs(f"avg(abs(y - {column}))")} AS mae, count(*) AS n,
+  {rs(f"regr_slope({column}, y)")} AS slope, {rs(f"regr_intercept({column}, y)")} AS intercept FROM july"""
+
+
+@query(f"{_MONTH} {_month_sql('baseline', 'yb')} UNION ALL {_month_sql('linear', 'lin')}")
+def month_comparison(spark, sf):
+    """Metrics and trend lines of two exported models in July."""
+    rows, params = fitted_baseline(spark, sf)
+    linear = fit_model(rows.where("split = 'train'"), SPEC.features, SPEC.label)
+    exported = apply_compensated_baseline(daily(spark, sf), SPEC, params, "O3_baseline_cal", everywhere=True)
+    got = compare_on_month(predict(linear, exported, "O3_linear_final"), SPEC, ["linear"])
+    out = got["metrics"].join(got["lines"], "model")
+    return out.select(
+        "model", *[r(c).alias(c) for c in ("r2", "rmse", "mae")], "n", *[r(c).alias(c) for c in ("slope", "intercept")]
+    )
+
+
 def _metric_rows(metrics: DataFrame) -> DataFrame:
     return metrics.select("split", "model", *[r(c, 4).alias(c) for c in ("r2", "rmse", "mae")], "n")
 
@@ -148,7 +233,6 @@ def rf_residual(spark, sf):
     return _metric_rows(forest_residual(daily(spark, sf), SPEC, params=params).metrics)
 
 
-_ORDER = ("ts", "sensor_id")
 _SMALL_FOREST = ForestParams(trees=15, max_depth=6, min_leaf=5, max_bins=64)
 
 

@@ -68,7 +68,7 @@ def write_station_exports(spark, sf: str) -> str:
         "name",
         F.inline(
             F.array(
-                F.struct(F.lit("Promedio").alias("c0"), F.lit("").alias("c1"), F.lit("").alias("c2")),
+                F.struct(F.lit("Hourly means").alias("c0"), F.lit("").alias("c1"), F.lit("").alias("c2")),
                 F.struct(F.lit("Fecha").alias("c0"), F.lit("Hora").alias("c1"), F.lit(STATION).alias("c2")),
             )
         ),

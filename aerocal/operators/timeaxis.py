@@ -101,26 +101,30 @@ def _blend(rn: Column, x: Column, before: Column, after: Column, both: bool) ->
     return F.coalesce(*pieces)
 
 
-def _with_neighbours(df: DataFrame, columns: Names, part: Names, order: Names) -> DataFrame:
-    """Add ``_rn`` and, per column, the known (rn, x) at or before (``_p_``) and at or
-    after (``_n_``) each row.
+def _numbered(df: DataFrame, part: Names, order: Names) -> DataFrame:
+    """Add ``_rn``, the row's position in its part."""
+    rn = F.row_number().over(W.partitionBy(*part).orderBy(*order))
+    return df.withColumn("_rn", rn.cast("long"))
+
+
+def _known(c: str) -> Column:
+    """(rn, x) of a row with a value, else null."""
+    pair = F.struct(F.col("_rn").alias("rn"), F.col(c).alias("x"))
+    return F.when(F.col(c).isNotNull(), pair)
+
+
+def _with_neighbours(rows: DataFrame, columns: Names, part: Names, order: Names) -> DataFrame:
+    """Add, per column, the known (rn, x) at or before (``_p_``) and at or after
+    (``_n_``) each numbered row. The backward look shares the sort that numbered them.
 
     The forward look is a backward look over the reversed rows: Spark restarts a frame
     that ends at "unbounded following" on every row, a growing prefix it only extends.
     """
-    out = df.withColumn(
-        "_rn", F.row_number().over(W.partitionBy(*part).orderBy(*order)).cast("long")
-    )
     so_far = (W.unboundedPreceding, 0)
-    back = W.partitionBy(*part).orderBy("_rn").rowsBetween(*so_far)
+    back = W.partitionBy(*part).orderBy(*order).rowsBetween(*so_far)
     fwd = W.partitionBy(*part).orderBy(F.desc("_rn")).rowsBetween(*so_far)
-
-    def known(c: str) -> Column:
-        pair = F.struct(F.col("_rn").alias("rn"), F.col(c).alias("x"))
-        return F.when(F.col(c).isNotNull(), pair)
-
-    out = out.withColumns({f"_p_{c}": F.last(known(c), ignorenulls=True).over(back) for c in columns})
-    return out.withColumns({f"_n_{c}": F.last(known(c), ignorenulls=True).over(fwd) for c in columns})
+    out = rows.withColumns({f"_p_{c}": F.last(_known(c), ignorenulls=True).over(back) for c in columns})
+    return out.withColumns({f"_n_{c}": F.last(_known(c), ignorenulls=True).over(fwd) for c in columns})
 
 
 def interpolate(
@@ -131,7 +135,7 @@ def interpolate(
     Interior gaps are linear, trailing gaps repeat the last value, leading gaps
     stay null unless ``both``, where they take the first value.
     """
-    out = _with_neighbours(grid, columns, keys, [ts])
+    out = _with_neighbours(_numbered(grid, keys, [ts]), columns, keys, [ts])
     rn = F.col("_rn")
     return out.withColumns(
         {c: _blend(rn, F.col(c), F.col(f"_p_{c}"), F.col(f"_n_{c}"), both) for c in columns}
@@ -176,26 +180,19 @@ def interpolate_raw(
     keys = list(keys)
     chunk = chunk or chunk_width(df, keys, ts)
     cols = df.columns
-    # Series and chunk as one struct: never null itself, and null keys inside it are
-    # equal, so windows, summary and join all use the same hash partitioning.
-    part = F.struct(*keys, time_bin(F.col(ts), chunk).alias("_chunk"))
-    rows = df.where(F.col(ts).isNotNull()).withColumn("_part", part)
-    rows = _with_neighbours(rows, columns, ["_part"], [ts, *tie])
-
-    # At a chunk's last row the backward neighbour is its last known value; at
-    # its first row the forward neighbour is its first known value.
+    present = _present_keys(df, keys)
+    rows = df.where(F.col(ts).isNotNull()).withColumns(present)
+    rows = rows.withColumn("_chunk", time_bin(F.col(ts), chunk))
+    series, part = list(present), [*present, "_chunk"]
+    rows = _numbered(rows, part, [ts, *tie])
+
     aggs = [F.count(F.lit(1)).alias("_size")]
     for c in columns:
-        aggs += [
-            F.max_by(F.col(f"_p_{c}"), F.col("_rn")).alias(f"_tail_{c}"),
-            F.min_by(F.col(f"_n_{c}"), F.col("_rn")).alias(f"_head_{c}"),
-        ]
-    series = [f"_s_{k}" for k in keys]
-    chunks = rows.groupBy("_part").agg(*aggs)
-    chunks = chunks.withColumns({s: F.col("_part")[k] for s, k in zip(series, keys, strict=True)})
+        aggs += [F.max(_known(c)).alias(f"_tail_{c}"), F.min(_known(c)).alias(f"_head_{c}")]
+    chunks = rows.groupBy(*part).agg(*aggs)
     earlier = (W.unboundedPreceding, -1)
-    before = W.partitionBy(*series).orderBy("_part._chunk").rowsBetween(*earlier)
-    after = W.partitionBy(*series).orderBy(F.desc("_part._chunk")).rowsBetween(*earlier)
+    before = W.partitionBy(*series).orderBy("_chunk").rowsBetween(*earlier)
+    after = W.partitionBy(*series).orderBy(F.desc("_chunk")).rowsBetween(*earlier)
     chunks = chunks.withColumn("_off", F.coalesce(F.sum("_size").over(before), F.lit(0)))
 
     def placed(name: str) -> Column:
@@ -212,10 +209,10 @@ def interpolate_raw(
             }
         )
     carries = chunks.select(
-        "_part", "_off", *[F.col(f"_{side}_{c}") for c in columns for side in ("in", "out")]
+        *part, "_off", *[F.col(f"_{side}_{c}") for c in columns for side in ("in", "out")]
     )
 
-    joined = rows.join(carries, "_part")
+    joined = _with_neighbours(rows, columns, part, [ts, *tie]).join(carries, part)
     rn = F.col("_rn") + F.col("_off")
     out = {}
     for c in columns:
@@ -225,6 +222,22 @@ def interpolate_raw(
     return joined.withColumns(out).select(*cols)
 
 
+def _present_keys(df: DataFrame, keys: Names) -> dict[str, Column]:
+    """Key columns that are never null: the value, or a filler beside a null flag.
+
+    Windows and joins on them need no null-safe comparison, which would hash other
+    expressions than the windows do and so shuffle the rows again.
+    """
+    present = {}
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        plain = isinstance(kind, T.NumericType)
+        value = F.col(k) if plain else F.col(k).cast("string")
+        present[f"_k{i}"] = F.coalesce(value, F.lit(0).cast(kind) if plain else F.lit(""))
+        present[f"_z{i}"] = F.col(k).isNull()
+    return present
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: Names, how: str = "inner") -> DataFrame:
     """Equi-join where null keys match each other; right keys are dropped."""
     r = right.withColumnsRenamed({c: f"_r_{c}" for c in on})

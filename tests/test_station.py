@@ -23,7 +23,7 @@ from tests.conftest import column
 
 def export(folder, name, lines, header="Fecha,Hora,EST", title="CO ppm,,"):
     text = "\r\n".join([title, header, *lines]) + "\r\n"
-    (folder / f"Promedio horarios de {name}.csv").write_bytes(text.encode("latin-1"))
+    (folder / f"hourly means of {name}.csv").write_bytes(text.encode("latin-1"))
 
 
 @pytest.fixture()

@@ -39,7 +39,12 @@ def r(c: Column | str, digits: int = 6) -> Column:
 
 
 def label(c: Column | str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    return F.date_format(c, pattern)
+    """A time as text, cut to the pattern's length.
+
+    ``date_format`` would pass a zone-free time through the session's zone first.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.substring(c.cast("string"), 1, len(pattern))
 
 
 def rs(expression: str, digits: int = 6) -> str:

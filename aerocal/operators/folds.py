@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,9 @@ def _keys_at(df: DataFrame, order: list[str], ranks: list[int], n: int, small_ro
 
 
 def _literal(df: DataFrame, name: str, value) -> Column:
+    # A datetime literal would be read in the session's zone; its text is not.
+    if isinstance(value, dt.datetime):
+        value = value.isoformat(sep=" ")
     return F.lit(value).cast(df.schema[name].dataType)
 
 

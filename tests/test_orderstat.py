@@ -82,3 +82,17 @@ def test_fold_errors(spark):
             fold_starts(df, ["a"], 4, small_rows=small_rows)
     with pytest.raises(ValueError):
         fold_starts(df.limit(3), ["a"], 4)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Mexico_City", "Asia/Tokyo"])
+def test_fold_blocks_do_not_depend_on_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    base = dt.datetime(1996, 4, 6, 22)  # crosses a clock change in one of the zones
+    rows = [(base + dt.timedelta(hours=i), i) for i in range(11)]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.createDataFrame(rows, "ts timestamp_ntz, i int")
+        blocks = with_fold_block(df, ["ts"], fold_starts(df, ["ts"]))
+        assert [r.block for r in blocks.orderBy("i").collect()] == [0, 0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +23,9 @@ def build_session(app: str = "aerocal", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only on a local master."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        folder = os.path.join(tempfile.gettempdir(), "aerocal-checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
-        return folder
-    raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -178,4 +178,6 @@ def pack_documents(
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Encode, cut and pack: one row per piece with its sequence and its place there."""
-    return pack(pieces(docs, capacity, end_id, tokenizer, id_col, text_col), capacity)
+    found = pieces(docs, capacity, end_id, tokenizer, id_col, text_col)
+    # written first: a range sort samples its input, which would encode every text twice
+    return pack(materialise(found, "cut"), capacity)

@@ -6,10 +6,11 @@ letter may be one. Viterbi decoding picks the cheapest path under a character tr
 the whole corpus plus the cost of each change. Words whose lattice has one path are left
 as they are. The restored words are then scored.
 
-A word and its first four, five and six letters are features. A feature's weight is the lower
-Wilson bound of its toxic share among labelled training texts (near-equal texts count once,
-by the smallest hash of their three-word sequences), and a text's score is the largest weight
-among its features, or half the toxic share of the training texts if none is known.
+Features are words that are frequent in toxic training texts and, for all other words, their first
+four, five and six letters. A feature's weight is the lower Wilson bound of its toxic share among
+labelled training texts (near-equal texts count once, by the smallest hash of their three-word
+sequences), and a text's score is the largest weight among its features, or half the toxic share
+of the training texts if none is known.
 
 What is collected is bounded: 28 ** 3 trigram counts over all texts, at most ``max_labels``
 labelled rows (those with the smallest hashes), at most ``max_features`` candidate features.
@@ -42,6 +43,7 @@ LOOKS = {
     "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
     "*": "aeiou", "#": "aeiou",
 }
+NOISE = "!|+(*#"  # signs that are as often noise as a letter
 SWAP, DROP, REPEAT = 1.0, 1.5, 0.5  # costs of the channel, in nats
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 RUN = re.compile(r"(.)\1\1")
@@ -111,7 +113,8 @@ class Restorer:
                     options.append(("", REPEAT))
             else:
                 options += [(c, SWAP) for c in LOOKS.get(char, "")]
-                options.append(("", DROP))
+                if not options or char in NOISE:
+                    options.append(("", DROP))
                 if char in " \t":
                     options.append((" ", 0.0))
             new: dict[tuple[int, int], tuple[float, str]] = {}
@@ -150,15 +153,24 @@ class Restorer:
         """Distinct restored words of a text."""
         low = text.lower()
         found = {self.word(t) for t in set(low.split())}
-        for match in SPACED.finditer(low):
-            if sum(c.isalpha() for c in match[0]) >= 2:
-                found.update(self._decode(match[0]).split())
+        for words in self.spaced(low):
+            found.update(words)
         found.discard("")
         return found
 
+    def spaced(self, low: str) -> Iterator[list[str]]:
+        """Words restored from runs of single characters."""
+        for match in SPACED.finditer(low):
+            if sum(c.isalpha() for c in match[0]) >= 2:
+                yield self._decode(match[0]).split()
+
 
-def features(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n)]
+def features(word: str, known: frozenset[str] | set[str] | None) -> list[str]:
+    """The word if it is one of the known words, else its beginnings; all of them before any is known."""
+    starts = [word[:n] + "*" for n in (4, 5, 6) if len(word) >= n]
+    if known is None:
+        return [word, *starts]
+    return [word] if word in known else starts
 
 
 def lower_bound(hits: float, n: float, z: float = 2.58) -> float:
@@ -182,7 +194,7 @@ def _counts(rows: DataFrame, costs: np.ndarray, only: set[str] | None) -> DataFr
         restorer, n, hits = Restorer(costs), Counter(), Counter()
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                found = {f for w in restorer.words(text) for f in features(w)}
+                found = {f for w in restorer.words(text) for f in features(w, only)}
                 if only is not None:
                     found &= only
                 n.update(found)
@@ -203,6 +215,8 @@ def _counts(rows: DataFrame, costs: np.ndarray, only: set[str] | None) -> DataFr
 
 
 class ToxicityModel:
+    """Costs of the channel model, weight of each feature (words may weigh 0), base score."""
+
     def __init__(self, costs: np.ndarray, weights: dict[str, float], base: float) -> None:
         self.costs, self.weights, self.base = costs, weights, base
         self.restorer: Restorer | None = None
@@ -212,18 +226,25 @@ class ToxicityModel:
         return self.__dict__ | {"restorer": None, "held": {}}
 
     def _weight(self, word: str) -> float:
-        found = self.held.get(word)
+        return max((self.weights.get(f, 0.0) for f in features(word, self.weights.keys())), default=0.0)
+
+    def _token(self, token: str) -> float:
+        found = self.held.get(token)
         if found is None:
-            found = max(self.weights.get(f, 0.0) for f in features(word))
-            if len(self.held) > 500_000:
+            if len(self.held) > 400_000:
                 self.held.clear()
-            self.held[word] = found
+            words = self.restorer.word(token).split()
+            found = self.held[token] = max(map(self._weight, words), default=0.0)
         return found
 
     def score(self, text: str) -> float:
         if self.restorer is None:
             self.restorer = Restorer(self.costs)
-        return max(map(self._weight, self.restorer.words(text)), default=0.0) or self.base
+        low = text.lower()
+        best = max(map(self._token, set(low.split())), default=0.0)
+        for words in self.restorer.spaced(low):
+            best = max(best, max(map(self._weight, words), default=0.0))
+        return best or self.base
 
 
 def fit_toxicity(
@@ -275,8 +296,8 @@ def fit_toxicity(
     weights = {}
     for feature, m, h in zip(*(counted.column(c).to_pylist() for c in ("feature", "n", "hits"))):
         weight = lower_bound(h, m)
-        if weight > hits / n:
-            weights[feature] = weight
+        if weight > hits / n or not feature.endswith("*"):
+            weights[feature] = weight if weight > hits / n else 0.0
     return ToxicityModel(costs, weights, hits / n / 2)
 
 

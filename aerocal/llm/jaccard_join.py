@@ -3,9 +3,9 @@
 A document is its set of distinct word shingles, as 64-bit hashes. Two documents link when
 den * intersection >= num * union. The steps:
 
-1. Shingles that are frequent in some task's share of the documents are counted; the order of
-   shingles is by that count, then by hash, so passages that many documents share come last. The
-   order only steers the work: any order gives the same links.
+1. Words are counted by documents; at most ``limit`` frequent ones are kept. The order of shingles
+   is by the count of their rarest word, then by hash, so a prefix holds the rarest shingles and
+   stock phrases come last. The order only steers the work: any order gives the same links.
 2. A set of n shingles must share one of its first n - ceil(num * n / den) + 1 with each partner
    (prefix filter). Equal sets are one class, and classes with equal prefix and size are one group.
 3. Groups that share a prefix shingle and fit in size are candidates. In a bucket of a shingle
@@ -51,10 +51,14 @@ class WordHashes(dict):
         return found
 
 
-def shingles(text: bytes, words: int, held: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes (int64); words are runs without blanks or 0x09-0x0D."""
+def word_hashes(text: bytes, held: WordHashes) -> np.ndarray:
+    """Hashes of the words, in order; words are runs without blanks or 0x09-0x0D."""
     found = text.lower().split()
-    h = np.fromiter(map(held.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(held.__getitem__, found), np.uint64, len(found))
+
+
+def rolled(h: np.ndarray, words: int) -> np.ndarray:
+    """One shingle hash (int64) for each place of the word hashes ``h``."""
     if not len(h):
         return np.zeros(0, np.int64)
     n = max(1, len(h) - words + 1)
@@ -64,29 +68,44 @@ def shingles(text: bytes, words: int, held: WordHashes) -> np.ndarray:
         out ^= out >> np.uint64(29)
     if len(h) < words:
         out = (out ^ np.uint64(len(h))) * _MIX[1]
-    return np.unique(out.view(np.int64))
+    return out.view(np.int64)
+
+
+def shingles(text: bytes, words: int, held: WordHashes) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(rolled(word_hashes(text, held), words))
+
+
+def ranks(h: np.ndarray, words: int, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each place, the count of the rarest word of its shingle (0: not among the frequent)."""
+    if not len(often) or not len(h):
+        return np.zeros(max(0, min(len(h), max(1, len(h) - words + 1))), np.int64)
+    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+    rank = np.where(often[at] == h, counts[at], 0)
+    n = max(1, len(h) - words + 1)
+    return np.minimum.reduce([rank[k : k + n] for k in range(min(words, len(h)))])
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def frequent_shingles(texts: DataFrame, words: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``limit`` frequent shingles (sorted) and their counts."""
+def frequent_words(texts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of at most ``limit`` frequent words and in how many documents they are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, docs, size = WordHashes(), [], 0, 0
 
         def flush() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(waiting), return_counts=True)
-            often = n >= max(5, docs // 500)
+            often = n >= max(2, docs // 2000)
             return pa.RecordBatch.from_arrays(
-                [pa.array(values[often]), pa.array(n[often])], ["shingle", "n"]
+                [pa.array(values[often].view(np.int64)), pa.array(n[often])], ["word", "n"]
             )
 
         for batch in batches:
             for text in utf8(batch.column(1)):
-                found = shingles(text, words, held)
+                found = np.unique(word_hashes(text, held))
                 waiting.append(found)
                 docs, size = docs + 1, size + len(found)
                 if size > 3_000_000:
@@ -96,35 +115,32 @@ def frequent_shingles(texts: DataFrame, words: int, limit: int) -> tuple[np.ndar
             yield flush()
 
     top = (
-        texts.mapInArrow(count, "shingle long, n long")
-        .groupBy("shingle")
+        texts.mapInArrow(count, "word long, n long")
+        .groupBy("word")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "shingle")
+        .orderBy(F.desc("n"), "word")
         .limit(limit)
         .toArrow()  # at most ``limit`` rows
     )
-    values, n = top.column("shingle").to_numpy(), top.column("n").to_numpy()
+    values, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(values)
     return values[order], n[order]
 
 
 def _signatures(texts: DataFrame, words: int, num: int, den: int, limit: int) -> DataFrame:
     """One row per document: doc_id, n, digest of the set, digest of the prefix, prefix."""
-    order = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words, limit))
+    order = texts.sparkSession.sparkContext.broadcast(frequent_words(texts, limit))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, (often, counts) = WordHashes(), order.value
         for batch in batches:
             sizes, digests, heads, prefixes = [], [], [], []
             for text in utf8(batch.column(1)):
-                found = shingles(text, words, held)
+                h = word_hashes(text, held)
+                found, place = np.unique(rolled(h, words), return_index=True)
                 n = len(found)
-                prefix = found[: prefix_length(n, num, den)]
-                if len(often) and n:
-                    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-                    rank = np.where(often[at] == found, counts[at], 0)
-                    if rank.any():
-                        prefix = found[np.lexsort((found, rank))[: len(prefix)]]
+                rank = ranks(h, words, often, counts)[place]
+                prefix = found[np.lexsort((found, rank))[: prefix_length(n, num, den)]]
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 heads.append(xxhash.xxh3_128_digest(prefix.tobytes()))
@@ -152,10 +168,14 @@ def _sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             )
             yield whole.filter(pa.array(same, pa.bool_()))
 
-    wanted = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select(
-        "doc_id", "text", "digest"
+    # rows repeated whole go before the sets are built; what is left of one id only repeats links
+    wanted = (
+        texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
+        .withColumn("key", F.xxhash64("text"))
+        .dropDuplicates(["doc_id", "key"])
+        .select("doc_id", "text", "digest")
     )
-    return wanted.mapInArrow(build, "node long, items array<long>").dropDuplicates(["node"])
+    return wanted.mapInArrow(build, "node long, items array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -189,7 +209,7 @@ def _verified(pairs: DataFrame, grouped: DataFrame, sets: DataFrame, num: int, d
 
 
 def class_links(
-    texts: DataFrame, words: int, num: int, den: int, limit: int = 200_000, stars: int = 6,
+    texts: DataFrame, words: int, num: int, den: int, limit: int = 400_000, stars: int = 6,
 ) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and links (a, b) that connect all linked classes."""
     rows = materialise(_signatures(texts, words, num, den, limit), "signatures")

@@ -1,14 +1,14 @@
 """Repeated substrings over a sparse enhanced suffix array, and their removal.
 
 Suffixes are taken at content-chosen places: in every window of ``length`` bytes those where
-the next 20 bytes have the smallest hash of the window. Equal windows choose equal places, so
-all copies of a repeat of ``length`` bytes share a suffix, and about a fortieth of all
+the next 40 bytes have the smallest hash of the window. Equal windows choose equal places, so
+all copies of a repeat of ``length`` bytes share a suffix, and about a thirtieth of all
 suffixes are handled. The steps:
 
-1. Of the suffixes (hash of 20 bytes, document, place) those whose hash occurs once are dropped.
+1. Of the suffixes (hash of 40 bytes, document, place) those whose hash occurs once are dropped.
    Hashes that hold over rows / (counters + 1) of them are found by Misra-Gries summaries, at
    most ``counters`` of them are broadcast, and their rows skip the shuffle that counts.
-2. The rest fetch their context, up to length - 20 bytes on either side. Of documents
+2. The rest fetch their context, up to length - 40 bytes on either side. Of documents
    that are equal as a whole only the first does so.
 3. Suffixes with equal contexts are one class, known by its first place (combined map-side). All
    others of a class repeat the first over the whole context.
@@ -43,22 +43,22 @@ from aerocal.llm.common import id_text, utf8
 from aerocal.llm.exact_dedup import frequent_digests
 from aerocal.session import materialise
 
-SEED = 20  # bytes of a suffix that are hashed
+SEED = 40  # bytes of a suffix that are hashed
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 256, dtype=np.uint64)
 PART = 1 << 20
 
 
 def seed_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the SEED bytes from each place on: 16 by doubling, then four more."""
+    """A hash of the SEED bytes from each place on: 32 by doubling, then eight more."""
     h, power = _BYTE[data], _BASE
-    four = None
-    for half in (1, 2, 4, 8):
+    eight = None
+    for half in (1, 2, 4, 8, 16):
         h = h[:-half] * np.uint64(power) + h[half:]
         power = power * power % 2**64
-        if half == 2:
-            four = h
-    h = h[:-4] * np.uint64(power) + four[16:]
+        if half == 4:
+            eight, shift = h, power
+    h = h[:-8] * np.uint64(shift) + eight[32:]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -305,7 +305,7 @@ def repeated_spans(texts: DataFrame, length: int = 100, counters: int = 1000, bu
         .withColumn("many", F.count("*").over(same)).where("many > 1").drop("many")
     )
     kept = found.join(F.broadcast(often), "hash", "left_semi").unionByName(rest)
-    wanted = kept.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("hash", "place")).alias("wanted"))
+    wanted = kept.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("place", "hash"))).alias("wanted"))
     one = (
         wanted.join(first, F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key")))
         .select(F.col("first_doc"), F.col("first_key"), "wanted")

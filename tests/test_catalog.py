@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from aerocal import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
@@ -26,7 +27,7 @@ def rows(columns, data):
     return sorted(tuple(repr(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     df = entry_point.queries()[name](spark, FOLDER)
     found = con.execute(entry_point.oracle_sql()[name])

@@ -104,7 +104,8 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     sizes = np.full(blocks, BLOCK)
     sizes[-1] = n - (blocks - 1) * BLOCK
     block_of = np.repeat(np.arange(blocks), np.diff(offsets))
-    chosen = (words >> np.uint64(60)).astype(np.int64)
+    # raw words behind the packed ones of a block have any top bits; what they say is not used
+    chosen = np.minimum((words >> np.uint64(60)).astype(np.int64), len(COUNT) - 1)
     counts = COUNT[chosen]
     before = np.concatenate([[0], np.cumsum(counts)])[:-1]
     place = before - before[offsets[:-1]][block_of]  # within the block; raw words lie past its size

@@ -5,13 +5,14 @@ the next 40 bytes have the smallest hash of the window. Equal windows choose equ
 all copies of a repeat of ``length`` bytes share a suffix, and about a thirtieth of all
 suffixes are handled. The steps:
 
-1. Of the suffixes (hash of 40 bytes, document, place) those whose hash occurs once are dropped.
-   Hashes that hold over rows / (counters + 1) of them are found by Misra-Gries summaries, at
-   most ``counters`` of them are broadcast, and their rows skip the shuffle that counts.
-2. The rest fetch their context, up to length - 40 bytes on either side. Of documents
-   that are equal as a whole only the first does so.
-3. Suffixes with equal contexts are one class, known by its first place (combined map-side). All
-   others of a class repeat the first over the whole context.
+1. A suffix is a hash of its 40 bytes, a digest of its context (up to length - 40 bytes on either
+   side), document and place. Of documents that are equal as a whole only the first is looked at.
+2. Suffixes with equal contexts are one class, known by its first place. All others of a class
+   repeat the first over the whole context. One shuffle by hash finds classes and their first places.
+   Hashes that hold over rows / (counters + 1) suffixes are found by Misra-Gries summaries, at
+   most ``counters`` of them are broadcast; their classes are combined map-side instead.
+3. Where a hash has several classes, each class fetches the bytes of its first place. All other
+   suffixes are done.
 4. Classes of one hash are sorted by the bytes that follow: an enhanced suffix array. A stack scan
    over the common-prefix lengths of neighbours gives the tree of common-prefix intervals. An
    interval is tested for left extensions: its classes are sorted by the bytes before
@@ -97,30 +98,44 @@ def chosen_places(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """(hash, doc_id, text_key, place) of the chosen suffixes."""
+    """(hash, context, doc_id, text_key, place, after) of the chosen suffixes.
+
+    ``context`` is a digest of the bytes from ``length - SEED`` before the place on, ``after`` how many
+    of them follow the place.
+    """
+    side = length - SEED
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = utf8(batch.column(2))
             for begin in range(0, len(raw), 1_000):
-                counts, places, hashes = [], [], []
+                counts, places, hashes, contexts, follow = [], [], [], [], []
                 for text in raw[begin : begin + 1_000]:
                     p, h = chosen_places(np.frombuffer(text, np.uint8), length)
                     counts.append(len(p))
                     places.append(p)
                     hashes.append(h)
-                owner = np.repeat(np.arange(begin, begin + len(counts)), counts)
+                    follow.append(np.minimum(len(text) - p, length))
+                    contexts.extend(_context(text, at, side, length) for at in p.tolist())
+                owner = pa.array(np.repeat(np.arange(begin, begin + len(counts)), counts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes).view(np.int64)), batch.column(0).take(pa.array(owner)),
-                     batch.column(1).take(pa.array(owner)), pa.array(np.concatenate(places))],
-                    ["hash", "doc_id", "text_key", "place"],
+                    [pa.array(np.concatenate(hashes).view(np.int64)),
+                     pa.array(np.array(contexts, np.uint64).view(np.int64)), batch.column(0).take(owner),
+                     batch.column(1).take(owner), pa.array(np.concatenate(places)),
+                     pa.array(np.concatenate(follow).astype(np.int32))],
+                    ["hash", "context", "doc_id", "text_key", "place", "after"],
                 )
 
     return texts.select("doc_id", "text_key", "text").mapInArrow(
-        choose, "hash long, doc_id long, text_key long, place long"
+        choose, "hash long, context long, doc_id long, text_key long, place long, after int"
     )
 
 
+def _context(text: bytes, place: int, side: int, length: int) -> int:
+    """Digest of the context; the seed tells where in it a context cut short on the left begins."""
+    return xxhash.xxh3_64_intdigest(text[max(0, place - side) : place + length], min(place, side))
+
+
 def _contexts(length: int):
     side = length - SEED
 
@@ -128,29 +143,25 @@ def _contexts(length: int):
         for batch in batches:
             raw = utf8(batch.column(2))
             for begin in range(0, len(raw), 200):
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in range(6)]
                 part = batch.slice(begin, 200)
                 rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), raw[begin : begin + 200],
                            part.column(3).to_pylist())
                 for doc, key, text, wanted in rows:
                     for item in wanted:
                         p = item["place"]
-                        before, after = text[max(0, p - side) : p], text[p : p + SEED + side]
-                        for col, value in zip(cols, (item["hash"], doc, key, p, before, after, _context(before, after))):
+                        before, after = text[max(0, p - side) : p], text[p : p + length]
+                        for col, value in zip(cols, (item["hash"], doc, key, p, before, after)):
                             col.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(cols, kinds)],
-                    ["hash", "doc_id", "text_key", "place", "before", "after", "context"],
+                    ["hash", "doc_id", "text_key", "place", "before", "after"],
                 )
 
     return fetch
 
 
-def _context(before: bytes, after: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(before + bytes([len(before) % 256]) + after)
-
-
 def _common(a: bytes, b: bytes) -> int:
     """Length of the common prefix."""
     n = min(len(a), len(b))
@@ -229,7 +240,7 @@ def _windows(row: tuple, length: int) -> Iterator[tuple]:
 def _group(rows: list[tuple], length: int) -> Iterator[tuple]:
     """Covered spans of the classes of one hash: every member of a group but its first place."""
     for left, right, members in repeat_groups([(r[4], r[5]) for r in rows], length):
-        first = min(members, key=lambda i: rows[i][7])
+        first = min(members, key=lambda i: rows[i][6])
         for i in members:
             if i != first:
                 hash_, doc, key, place = rows[i][:4]
@@ -281,70 +292,61 @@ def repeated_spans(texts: DataFrame, length: int = 100, counters: int = 1000, bu
 
     ``texts`` has doc_id, text_key, text. A whole-text copy gives one span.
     """
-    spark = texts.sparkSession
     place = F.struct("doc_id", "text_key", "place")
     slim = materialise(
         texts.select("doc_id", "text_key", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n_bytes")),
         "texts",
     )
     firsts = slim.where(F.col("n_bytes") >= length).groupBy("sha").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("first")
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("many")
+    ).where("many > 1")
+    whole = materialise(
+        slim.join(firsts, "sha").where(~F.struct("doc_id", "text_key").eqNullSafe(F.col("first"))).select(
+            "doc_id", "text_key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end")
+        ).distinct(),
+        "whole",
     )
-    whole = slim.join(firsts, "sha").where(~F.struct("doc_id", "text_key").eqNullSafe(F.col("first"))).select(
-        "doc_id", "text_key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end")
-    ).distinct()
-    first = firsts.select(F.col("first.doc_id").alias("first_doc"), F.col("first.text_key").alias("first_key"))
-
-    found = suffixes(texts, length)
+    copies = whole.select(F.col("doc_id").alias("copy_doc"), F.col("text_key").alias("copy_key"))
+    own = texts.join(
+        copies, F.col("doc_id").eqNullSafe(F.col("copy_doc")) & (F.col("text_key") == F.col("copy_key")), "left_anti"
+    )
+    found = materialise(suffixes(own, length), "suffixes")
     digests = found.select(F.to_binary(F.lpad(F.hex("hash"), 16, "0"), F.lit("hex")).alias("digest"))
     often = frequent_digests(digests, counters).select(F.conv(F.hex("digest"), 16, -10).cast("long").alias("hash"))
     often = materialise(often, "often")  # at most ``counters`` rows
-    same = Window.partitionBy("hash")
+    same, equal = Window.partitionBy("hash"), Window.partitionBy("hash", "context")
     rest = (
         found.join(F.broadcast(often), "hash", "left_anti")
-        .withColumn("many", F.count("*").over(same)).where("many > 1").drop("many")
+        .withColumn("at", F.min(place).over(equal))
+        .withColumn("several", F.min("context").over(same) != F.max("context").over(same))
+    )
+    hot = found.join(F.broadcast(often), "hash", "left_semi")
+    heads = materialise(hot.groupBy("hash", "context").agg(F.min(place).alias("at")), "heads")
+    told = materialise(
+        rest.unionByName(hot.join(heads, ["hash", "context"]).withColumn("several", F.lit(True)))
+        .withColumn("again", ~place.eqNullSafe(F.col("at")))
+        .where("again or several")
+        .select("again", "hash", "doc_id", "text_key", "place", "after"),
+        "classes",
     )
-    kept = found.join(F.broadcast(often), "hash", "left_semi").unionByName(rest)
-    wanted = kept.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("place", "hash"))).alias("wanted"))
-    one = (
-        wanted.join(first, F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key")))
-        .select(F.col("first_doc"), F.col("first_key"), "wanted")
+    start = F.col("place") - F.least("place", F.lit(length - SEED).cast("long"))
+    again = told.where("again").select(
+        "doc_id", "text_key", start.alias("start"), (F.col("place") + F.col("after")).alias("end")
+    ).where(F.col("end") - F.col("start") >= length)
+    wanted = (
+        told.where("not again").groupBy("doc_id", "text_key")
+        .agg(F.collect_set(F.struct("place", "hash")).alias("wanted"))
+        .select(F.col("doc_id").alias("first_doc"), F.col("text_key").alias("first_key"), "wanted")
     )
-    contexts = materialise(
-        texts.join(one, F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key")))
+    rows = materialise(
+        own.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key")))
         .dropDuplicates(["doc_id", "text_key"])
         .select("doc_id", "text_key", "text", "wanted")
-        .mapInArrow(
-            _contexts(length),
-            "hash long, doc_id long, text_key long, place long, before binary, after binary, context binary",
-        ),
+        .mapInArrow(_contexts(length), "hash long, doc_id long, text_key long, place long, before binary, after binary"),
         "contexts",
     )
-    classes = (
-        contexts.groupBy("hash", "context")
-        .agg(F.min(F.struct("doc_id", "text_key", "place", "before", "after")).alias("first"), F.count("*").alias("n"))
-    )
-    classes = materialise(classes, "classes")
-    slim_first = classes.where("n > 1").select(
-        "hash", "context", F.struct("first.doc_id", "first.text_key", "first.place").alias("at")
-    )
-    again = (
-        contexts.select(
-            "hash", "context", "doc_id", "text_key", "place",
-            (F.col("place") - F.octet_length("before")).alias("start"),
-            (F.col("place") + F.octet_length("after")).alias("end"),
-        )
-        .join(slim_first, ["hash", "context"])
-        .where(~place.eqNullSafe(F.col("at")) & (F.col("end") - F.col("start") >= length))
-        .select("doc_id", "text_key", "start", "end")
-    )
-    rows = classes.select("hash", "first.doc_id", "first.text_key", "first.place", "first.before", "first.after")
-    single = rows.groupBy("hash").agg(F.count("*").alias("many")).where("many > 1").select("hash")
-    rows = rows.withColumn("n", F.lit(0))
     tree = (
         rows.join(F.broadcast(often), "hash", "left_anti")
-        .join(single, "hash")
-        .select("hash", "doc_id", "text_key", "place", "before", "after", "n")
         .repartition("hash").sortWithinPartitions("hash")
         .mapInArrow(_tree_scan(length, bucket), COVER)
     )

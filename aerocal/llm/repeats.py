@@ -218,36 +218,43 @@ def repeat_groups(rows: list[tuple[bytes, bytes]], length: int) -> Iterator[tupl
                 yield high, length - low, inside[a : b + 1]
 
 
-COVER = "kind int, hash long, doc_id long, text_key long, start long, end long, window binary"
+COVER = "kind int, doc_id long, text_key long, start long, end long, window binary"
 
 
 def _cover_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    columns = list(zip(*rows)) if rows else [[]] * 7
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    columns = list(zip(*rows)) if rows else [[]] * 6
     names = [c.split()[0] for c in COVER.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def _windows(row: tuple, length: int) -> Iterator[tuple]:
     """The windows of one class that hold its seed."""
-    hash_, doc, key, place, before, after = row
+    _, doc, key, place, before, after = row
     whole, at = before + after, len(before)
     for o in range(max(0, length - len(after)), min(at, length - SEED) + 1):
         window = xxhash.xxh3_128_digest(whole[at - o : at - o + length])
-        yield 1, hash_, doc, key, place - o, place - o + length, window
+        yield 1, doc, key, place - o, place - o + length, window
 
 
 def _group(rows: list[tuple], length: int) -> Iterator[tuple]:
-    """Covered spans of the classes of one hash: every member of a group but its first place."""
+    """Covered spans of the classes of one hash: every member of a group but its first place.
+
+    All spans of a class hold its seed, so together they are one span.
+    """
+    widest: dict[int, tuple[int, int]] = {}
     for left, right, members in repeat_groups([(r[4], r[5]) for r in rows], length):
         first = min(members, key=lambda i: rows[i][6])
         for i in members:
             if i != first:
-                hash_, doc, key, place = rows[i][:4]
-                yield 0, hash_, doc, key, place - left, place + right, None
+                before, after = widest.get(i, (0, 0))
+                widest[i] = max(before, left), max(after, right)
+    for i, (left, right) in widest.items():
+        _, doc, key, place = rows[i][:4]
+        yield 0, doc, key, place - left, place + right, None
 
 
-def _tree_scan(length: int, bucket: int):
+def _tree_scan(length: int, bucket: int, hot: frozenset[int]):
     """Arrow function over classes sorted by hash: spans, or windows where a hash has too many."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +265,12 @@ def _tree_scan(length: int, bucket: int):
                 if row[0] != current:
                     if len(held) > 1:
                         out.extend(_group(held, length))
-                    held, over, current = [], False, row[0]
+                    held, current = [], row[0]
+                    over = current in hot
                 if over:
-                    out.extend(_windows(row[:6], length))
+                    out.extend(_windows(row, length))
                 else:
-                    held.append((*row, (row[1] is not None, row[1], row[2], row[3])))
+                    held.append((*row, (row[1] is not None, row[1] or 0, row[2], row[3])))
                     if len(held) > bucket:
                         for r in held:
                             out.extend(_windows(r[:6], length))
@@ -277,16 +285,6 @@ def _tree_scan(length: int, bucket: int):
     return scan
 
 
-def _window_rows(length: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 300):
-                rows = zip(*(c.to_pylist() for c in batch.slice(at, 300).columns))
-                yield _cover_batch([w for r in rows for w in _windows(r[:6], length)])
-
-    return deal
-
-
 def repeated_spans(texts: DataFrame, length: int = 100, counters: int = 1000, bucket: int = 2000) -> DataFrame:
     """Bytes of repeats that are not the first: doc_id, text_key, start, end (may overlap).
 
@@ -338,20 +336,19 @@ def repeated_spans(texts: DataFrame, length: int = 100, counters: int = 1000, bu
         .agg(F.collect_set(F.struct("place", "hash")).alias("wanted"))
         .select(F.col("doc_id").alias("first_doc"), F.col("text_key").alias("first_key"), "wanted")
     )
-    rows = materialise(
+    hashes = frozenset(r.hash for r in often.collect())  # at most ``counters`` numbers
+    # a very frequent hash is spread: its windows are dealt out one by one
+    spread = F.when(F.col("hash").isin(*hashes), F.xxhash64("doc_id", "place")) if hashes else F.lit(None)
+    covers = materialise(
         own.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key")))
         .dropDuplicates(["doc_id", "text_key"])
         .select("doc_id", "text_key", "text", "wanted")
-        .mapInArrow(_contexts(length), "hash long, doc_id long, text_key long, place long, before binary, after binary"),
-        "contexts",
-    )
-    tree = (
-        rows.join(F.broadcast(often), "hash", "left_anti")
-        .repartition("hash").sortWithinPartitions("hash")
-        .mapInArrow(_tree_scan(length, bucket), COVER)
+        .mapInArrow(_contexts(length), "hash long, doc_id long, text_key long, place long, before binary, after binary")
+        .repartition(F.col("hash"), F.coalesce(spread, F.lit(0).cast("long")))
+        .sortWithinPartitions("hash")
+        .mapInArrow(_tree_scan(length, bucket, hashes), COVER),
+        "covers",
     )
-    dealt = rows.join(F.broadcast(often), "hash", "left_semi").mapInArrow(_window_rows(length), COVER)
-    covers = materialise(tree.unionByName(dealt), "covers")
     windows = covers.where("kind = 1").select("doc_id", "text_key", "start", "end", "window")
     at = F.struct("doc_id", "text_key", "start")
     earliest = windows.groupBy("window").agg(F.min(at).alias("at"), F.count("*").alias("many")).where("many > 1")

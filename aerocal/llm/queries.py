@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerocal.llm.alignment import align
 from aerocal.llm.chunk_dedup import drop_repeated_chunks
 from aerocal.llm.common import table
 from aerocal.llm.exact_dedup import exact_groups
@@ -64,12 +65,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_mixing, op2_language_id, op3_topk_search, op4_exact_dedup, op5_token_files, op6_jaccard_join, op7_repeats,
-            op8_toxicity, op9_chunk_dedup, op10_packing,
+            op8_toxicity, op9_chunk_dedup, op10_packing, op12_alignment,
         )
     }
 

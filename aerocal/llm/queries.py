@@ -14,6 +14,7 @@ from aerocal.llm.knn_join import integer_vectors, top_k
 from aerocal.llm.language_id import identify_languages
 from aerocal.llm.mixing import mix
 from aerocal.llm.packing import pack_documents
+from aerocal.llm.page_text import extract_text
 from aerocal.llm.repeats import drop_repeats
 from aerocal.llm.token_files import ids_crc32, read_token_files, write_token_files
 from aerocal.llm.toxicity import fit_toxicity, score_toxicity
@@ -69,12 +70,17 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"))
 
 
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_mixing, op2_language_id, op3_topk_search, op4_exact_dedup, op5_token_files, op6_jaccard_join, op7_repeats,
             op8_toxicity, op9_chunk_dedup, op10_packing, op12_alignment,
+            op13_page_text,
         )
     }
 
@@ -135,6 +141,20 @@ FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id GROUP BY reach.doc_id
 """
 
 
+#: Holds for pages like those of the table, whose main text is one article without boilerplate inside;
+#: only ``&amp;`` and ``&quot;`` occur in it.
+_OP13_SQL = r"""
+WITH inside AS (
+    SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'),
+           '</?(b|i|em|a|span)>', '', 'g') AS t FROM pages
+), decoded AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'),
+           '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM inside
+), trimmed AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM trimmed
+"""
+
+
 def _op1_sql(power: float = 0.7, sweeps: int = 6, seed: int = 17) -> str:
     """The sweeps written out as one common table expression for each update."""
     dims = ("source", "lang", "topic")
@@ -193,5 +213,5 @@ def oracle_sql() -> dict[str, str]:
     """SQL that must give the same rows, where SQL can express the query."""
     return {
         "op1_mixing": _op1_sql(), "op3_topk_search": _OP3_SQL, "op4_exact_dedup": _OP4_SQL,
-        "op6_jaccard_join": _OP6_SQL,
+        "op6_jaccard_join": _OP6_SQL, "op13_page_text": _OP13_SQL,
     }

@@ -11,9 +11,10 @@ term its groups (tf, documents) by descending tf, and the doc ids. The largest t
 the score of every document of a chunk. Chunks are visited by descending bound, and only while the
 bound reaches the k-th best score known for the query; ties are visited, so the result is exact.
 
-Plan: texts are read once into bags of words (written), which are sorted by range of (m, hash of
-the id), so that a stratum with a third of all documents spreads over many tasks, and packed into
-chunks (written). Document frequencies come from the chunks. A first visit takes only the best
+Plan: texts are read once into bags of words (written), dealt by stratum, sorted and packed into
+chunks (written). A stratum with more than its share of the postings, such as one that holds a third
+of all documents, is dealt out by a hash of the id as well; the list of these strata has at most
+``_SHARES`` entries per shuffle partition. Document frequencies come from the chunks. A first visit takes only the best
 chunk of each task for each query, which gives every query a score to beat; the second visit covers all
 chunks against these scores. Queries are taken in blocks of at most ``block`` items, so what
 travels to the tasks is bounded by the block, whatever the number of items or documents.
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerocal.llm.common import id_text, strings
@@ -46,11 +47,17 @@ _LOWER = str.maketrans({c: chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 #: m is LEAST + (SHARE * n * N) div L; an impact is (SCALE * tf) div (TF_PART * tf + M_PART * m).
 SHARE, LEAST, SCALE, TF_PART, M_PART = 75, 25, 1_000_000_000, 1000, 8
 
-BAGS = "doc_id long, n long, terms array<string>, tfs array<int>"
+#: A bag holds its distinct terms in one string, parted by spaces, and their counts.
+BAGS = "doc_id long, n long, size int, terms string, tfs binary"
+#: Terms in ascending order, parted by spaces; the other lists are 32-bit integers, postings 16-bit.
 CHUNKS = (
-    "m long, n_docs int, terms array<string>, largest array<int>, held array<int>, group_tf array<int>, "
-    "group_start array<int>, term_group array<int>, postings array<int>, doc_ids array<long>"
+    "m long, n_docs int, terms string, largest binary, held binary, group_tf binary, group_start binary, "
+    "term_group binary, postings binary, doc_ids array<long>"
 )
+#: Most documents of a chunk, whose places are 16-bit numbers.
+MOST_DOCS = 1 << 16
+#: A stratum is split when it holds more than 1 / (_SHARES * partitions) of all postings.
+_SHARES = 4
 FOUND = "item long, doc_id long, score long"
 
 
@@ -84,20 +91,21 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 500):
             part = batch.slice(at, 500)
-            ids, n, terms, tfs = [], [], [], []
+            ids, n, size, terms, tfs = [], [], [], [], []
             for doc_id, text in zip(part.column(0).to_pylist(), strings(part.column(1))):
                 bag = Counter(terms_of(text))
                 if bag:
                     ids.append(doc_id)
                     n.append(bag.total())
-                    terms.append(list(bag))
-                    tfs.append(list(bag.values()))
+                    size.append(len(bag))
+                    terms.append(" ".join(bag))
+                    tfs.append(np.array(list(bag.values()), "<i4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.string())),
-                    pa.array(tfs, pa.list_(pa.int32())),
+                    pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int32()),
+                    pa.array(terms, pa.string()), pa.array(tfs, pa.binary()),
                 ],
-                ["doc_id", "n", "terms", "tfs"],
+                ["doc_id", "n", "size", "terms", "tfs"],
             )
 
 
@@ -106,30 +114,37 @@ def build_index(
     chunk_postings: int = 400_000,
 ) -> Index:
     """Index of all documents; N and L are two numbers of one aggregate."""
+    if chunk_docs > MOST_DOCS:
+        raise ValueError(f"a chunk holds at most {MOST_DOCS} documents")
     bags = materialise(id_text(docs, id_col, text_col).mapInArrow(_bags, BAGS), "bags")
-    total = bags.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).first()
+    total = bags.agg(
+        F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("postings"),
+    ).first()
     n_docs, length = total.docs, total.length
     m = F.lit(LEAST) + F.expr(f"({SHARE} * n * {n_docs}L) div {max(1, length)}L")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Open(0)
+        held = _Open((0, 0))
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for stratum, doc_id, terms, tfs in zip(*columns):
-                full = len(held.doc_ids) >= chunk_docs or held.size + len(terms) > chunk_postings
-                if held.doc_ids and (full or stratum != held.m):
-                    yield held.chunk()
-                    held = _Open(stratum)
-                held.m = stratum
-                held.add(doc_id, terms, tfs)
+            for at in range(0, len(batch), 100):
+                rows = zip(*(c.to_pylist() for c in batch.slice(at, 100).columns))
+                for stratum, split, doc_id, size, terms, tfs in rows:
+                    full = len(held.doc_ids) >= chunk_docs or held.size + size > chunk_postings
+                    if held.doc_ids and (full or (stratum, split) != held.part):
+                        yield held.chunk()
+                        held = _Open((stratum, split))
+                    held.part = (stratum, split)
+                    held.add(doc_id, terms.split(" "), tfs)
         if held.doc_ids:
             yield held.chunk()
 
+    sized = bags.withColumn("m", m)
     chunks = (
-        bags.select(m.alias("m"), F.xxhash64("doc_id").alias("key"), "doc_id", "terms", "tfs")
-        .repartitionByRange("m", "key")
-        .sortWithinPartitions("m", "key")
-        .select("m", "doc_id", "terms", "tfs")
+        sized.withColumn("split", _split(sized, total.postings))
+        .repartition("m", "split")
+        .sortWithinPartitions("m", "split")
+        .select("m", "split", "doc_id", "size", "terms", "tfs")
         .mapInArrow(pack, CHUNKS)
     )
     path = scratch_path(docs.sparkSession, "strata")
@@ -137,22 +152,38 @@ def build_index(
     return Index(docs.sparkSession.read.schema(CHUNKS).parquet(path), n_docs, length)
 
 
+def _split(bags: DataFrame, postings: int) -> Column:
+    """Which part of its stratum a document goes to: 0, but for strata with many postings.
+
+    Parts are as large as the share that makes a stratum a large one, so there are fewer than twice
+    as many parts as shares.
+    """
+    shares = _SHARES * int(bags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = (
+        bags.groupBy("m").agg(F.sum("size").alias("size")).where(F.col("size") * shares > postings).collect()
+    )  # fewer than ``shares`` rows
+    if not large:
+        return F.lit(0)
+    parts = F.create_map(*[F.lit(x) for row in large for x in (row.m, -(-row["size"] * shares // postings))])
+    return F.pmod(F.xxhash64("doc_id", "terms"), F.coalesce(parts[F.col("m")], F.lit(1))).cast("int")
+
+
 class _Open:
     """Documents of one stratum on their way into a chunk."""
 
-    def __init__(self, m: int) -> None:
-        self.m, self.size = m, 0
+    def __init__(self, part: tuple[int, int]) -> None:
+        self.part, self.size = part, 0
         self.number: dict[str, int] = {}
         self.doc_ids: list[int | None] = []
         self.term: list[int] = []
-        self.tf: list[int] = []
+        self.tfs: list[bytes] = []
         self.per_doc: list[int] = []
 
-    def add(self, doc_id: int | None, terms: list[str], tfs: list[int]) -> None:
+    def add(self, doc_id: int | None, terms: list[str], tfs: bytes) -> None:
         number = self.number
         self.doc_ids.append(doc_id)
         self.term += [number.setdefault(t, len(number)) for t in terms]
-        self.tf += tfs
+        self.tfs.append(tfs)
         self.per_doc.append(len(terms))
         self.size += len(terms)
 
@@ -160,24 +191,28 @@ class _Open:
         names = sorted(self.number)
         place = np.empty(len(names), np.int64)
         place[[self.number[t] for t in names]] = np.arange(len(names))
-        term, tf = place[np.array(self.term)], np.array(self.tf)
+        term, tf = place[np.array(self.term)], np.frombuffer(b"".join(self.tfs), "<i4")
         doc = np.repeat(np.arange(len(self.doc_ids)), self.per_doc)
         order = np.lexsort((doc, -tf, term))
         term, tf, doc = term[order], tf[order], doc[order]
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])]))
         first = np.searchsorted(term[new], np.arange(len(names) + 1))
         values = {
-            "m": pa.array([self.m], pa.int64()), "n_docs": pa.array([len(self.doc_ids)], pa.int32()),
-            "terms": pa.array([names], pa.list_(pa.string())),
+            "m": pa.array([self.part[0]], pa.int64()), "n_docs": pa.array([len(self.doc_ids)], pa.int32()),
+            "terms": pa.array([" ".join(names)], pa.string()),
             "largest": _row(tf[new][first[:-1]]), "held": _row(np.bincount(term, minlength=len(names))),
             "group_tf": _row(tf[new]), "group_start": _row(np.append(new, len(term))), "term_group": _row(first),
-            "postings": _row(doc), "doc_ids": pa.array([self.doc_ids], pa.list_(pa.int64())),
+            "postings": _row(doc, "<u2"), "doc_ids": pa.array([self.doc_ids], pa.list_(pa.int64())),
         }
         return pa.RecordBatch.from_arrays(list(values.values()), list(values))
 
 
-def _row(values: np.ndarray) -> pa.Array:
-    return pa.array([values.astype(np.int32)], pa.list_(pa.int32()))
+def _row(values: np.ndarray, kind: str = "<i4") -> pa.Array:
+    return pa.array([values.astype(kind).tobytes()], pa.binary())
+
+
+def _numbers(value: pa.Scalar, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
 
 
 @dataclass(frozen=True)
@@ -210,8 +245,8 @@ def document_frequencies(index: Index, items: Items) -> np.ndarray:
         found = np.zeros(len(wanted), np.int64)
         for batch in batches:
             for terms, held in zip(batch.column(0), batch.column(1)):
-                at, of = _places(terms.values, wanted)
-                found[of] += held.values.to_numpy()[at]
+                at, of = _places(terms.as_py(), wanted)
+                found[of] += _numbers(held)[at]
         used = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used])], ["term", "df"])
 
@@ -225,9 +260,9 @@ def document_frequencies(index: Index, items: Items) -> np.ndarray:
     return df
 
 
-def _places(terms: pa.Array, wanted: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def _places(terms: str, wanted: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Where the wanted terms stand in a chunk, and which they are."""
-    both = [(i, wanted[t]) for i, t in enumerate(terms.to_pylist()) if t in wanted]
+    both = [(i, wanted[t]) for i, t in enumerate(terms.split(" ")) if t in wanted]
     return tuple(np.array(x, np.int64) for x in zip(*both)) if both else (np.zeros(0, np.int64),) * 2
 
 
@@ -243,7 +278,7 @@ class Search:
         self.best: list[list[tuple[int, int | None]]] = [[] for _ in range(items.size)]
         self.visited = self.seen = 0
 
-    def bounds(self, terms: pa.Array, largest: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, terms: str, largest: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Bound of each query's scores in a chunk, and where its terms stand in it (-1: absent)."""
         at, of = _places(terms, self.wanted)
         place = np.full(len(self.wanted), -1)
@@ -315,7 +350,8 @@ def _order(found: tuple[int, int | None]) -> tuple:
 
 
 def _chunk(batch: pa.RecordBatch, i: int) -> dict:
-    lists = {x: batch.column(x)[i].values.to_numpy() for x in ("group_tf", "group_start", "term_group", "postings")}
+    lists = {x: _numbers(batch.column(x)[i]) for x in ("group_tf", "group_start", "term_group")}
+    lists["postings"] = _numbers(batch.column("postings")[i], "<u2")
     m, n_docs = batch.column("m")[i].as_py(), batch.column("n_docs")[i].as_py()
     return lists | {"m": m, "n_docs": n_docs, "doc_ids": batch.column("doc_ids")[i].as_py()}
 
@@ -327,7 +363,7 @@ def _visits(index: Index, items: Items, weights: np.ndarray, k: int, beat: np.nd
         state = Search(items, weights, k, beat)
         for batch in batches:
             bounds = [
-                state.bounds(terms.values, largest.values.to_numpy(), m)
+                state.bounds(terms.as_py(), _numbers(largest), m)
                 for terms, largest, m in zip(batch.column("terms"), batch.column("largest"), batch.column("m").to_pylist())
             ]
             if not bounds:

@@ -100,12 +100,15 @@ def test_strata_hold_one_normaliser_and_every_document(tables):
     for c in chunks:
         known = [size[i] for i in c.doc_ids if i in size]
         assert {25 + 75 * n * index.n_docs // index.length for n in known} <= {c.m}
-        assert c.terms == sorted(set(c.terms))
-        for t in range(len(c.terms)):
-            groups = range(c.term_group[t], c.term_group[t + 1])
-            tfs = [c.group_tf[g] for g in groups]
-            assert tfs == sorted(set(tfs), reverse=True) and tfs[0] == c.largest[t]
-            assert c.held[t] == c.group_start[c.term_group[t + 1]] - c.group_start[c.term_group[t]]
+        names = c.terms.split(" ")
+        assert names == sorted(set(names))
+        group, start, tf, largest, held = (
+            np.frombuffer(c[x], "<i4").tolist() for x in ("term_group", "group_start", "group_tf", "largest", "held")
+        )
+        for t in range(len(names)):
+            tfs = tf[group[t] : group[t + 1]]
+            assert tfs == sorted(set(tfs), reverse=True) and tfs[0] == largest[t]
+            assert held[t] == start[group[t + 1]] - start[group[t]]
 
 
 def test_bounds_skip_chunks(tables):
@@ -122,7 +125,7 @@ def test_bounds_skip_chunks(tables):
 
     state = Search(block, weights, 10, np.zeros(20, np.int64))
     bounds = [
-        state.bounds(t.values, x.values.to_numpy(), m)
+        state.bounds(t.as_py(), np.frombuffer(x.as_py(), "<i4"), m)
         for t, x, m in zip(batch.column("terms"), batch.column("largest"), batch.column("m").to_pylist())
     ]
     order = np.argsort(-np.stack([b for b, _ in bounds]).max(1), kind="stable")
@@ -133,6 +136,18 @@ def test_bounds_skip_chunks(tables):
     assert state.visited < 0.9 * state.seen
 
 
+def test_large_strata_are_split(spark):
+    rows = [(i, f"same length of text {i % 7}") for i in range(500)] + [(1000, "another one"), (1001, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = build_index(docs)
+    assert index.chunks.where("n_docs < 400").count() == index.chunks.count() > 8
+    items = [(1, "text 3 another"), (2, "same")]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(tuple(r) for r in search(asked, index).collect()) == Counter(brute(rows, items))
+    with pytest.raises(ValueError):
+        build_index(docs, chunk_docs=1 << 17)
+
+
 def test_terms():
     assert terms_of("Ab-cD_é1É\x7f\x80x 日") == ["ab", "cd", "é1É", "\x80x", "日"]
 

@@ -204,7 +204,7 @@ FROM cut GROUP BY 1"""
 def time_series_folds_raw(spark, sf):
     """Fold borders inside days that many rows share, found by counting ranks."""
     rows = table(spark, sf, "lineitem").select(*_RAW_ORDER, "l_extendedprice")
-    blocks = with_fold_block(rows, _RAW_ORDER, fold_starts(rows, _RAW_ORDER, small_rows=1000))
+    blocks = with_fold_block(rows, _RAW_ORDER, fold_starts(rows, _RAW_ORDER))
     return blocks.groupBy(F.col("block").cast("long").alias("block")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         label(F.min("l_shipdate"), "yyyy-MM-dd").alias("first_day"),

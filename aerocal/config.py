@@ -147,12 +147,18 @@ def default_kernel_grid() -> tuple[KernelParams, ...]:
 
 
 def default_candidates() -> tuple[Candidate, ...]:
-    """Forest and ridge, each without (v1) and with (v2) the baseline as a feature."""
+    """Forest and ridge, each without and with the baseline as a feature."""
     return (
-        Candidate("RF_v1", default_forest_grid(), False),
-        Candidate("RF_v2", default_forest_grid(), True),
-        Candidate("Ridge_v1", default_ridge_grid(), False),
-        Candidate("Ridge_v2", default_ridge_grid(), True),
+        Candidate("forest", default_forest_grid(), False),
+        Candidate("forest_on_baseline", default_forest_grid(), True),
+        *ridge_candidates(),
+    )
+
+
+def ridge_candidates() -> tuple[Candidate, ...]:
+    return (
+        Candidate("ridge", default_ridge_grid(), False),
+        Candidate("ridge_on_baseline", default_ridge_grid(), True),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from aerocal.config import Compensation, TargetSpec
 from aerocal.functions import affine, any_present, compensate_ozone, masked, two_point_scale
-from aerocal.operators.orderstat import SMALL_ROWS, exact_medians
+from aerocal.operators.orderstat import exact_medians
 from aerocal.operators.timeaxis import null_safe_join
 
 Params = DataFrame | Mapping[str, float]
@@ -75,14 +75,13 @@ def fit_compensated_baseline(
     train: DataFrame,
     spec: TargetSpec,
     k: Compensation = Compensation(),
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Medians of the raw features, then label = alpha + beta * compensated signal.
 
     ``train`` holds training rows with a label. One row: the medians under the
     feature names, ``alpha`` and ``beta``.
     """
-    medians = exact_medians(train, spec.features, small_rows=small_rows)
+    medians = exact_medians(train, spec.features)
     bound, at = _bind(train, medians)
     pairs = bound.select(
         F.col(spec.label).alias("_y"), _compensated(spec.features, at, k).alias("_x"), "_params"

@@ -4,67 +4,49 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aerocal.operators.orderstat import SMALL_ROWS, values_at_ranks
+from aerocal.operators.orderstat import values_at_ranks
 
 
-def fold_starts(
-    df: DataFrame, order: Sequence[str], n_splits: int = 4, small_rows: int = SMALL_ROWS
-) -> list[tuple]:
+def fold_starts(df: DataFrame, order: Sequence[str], n_splits: int = 4) -> list[tuple]:
     """Order keys of the first row of each test fold.
 
     With n rows and t = n // (n_splits + 1), test fold k starts at 0-based row
-    n - (n_splits - k) * t. Only those few ranks are looked up. Rows must be distinct
-    in ``order``.
+    n - (n_splits - k) * t. Only those few ranks are looked up: by the first column of ``order``, then
+    among the rows that share its value by the next. Rows must be distinct in ``order``.
     """
+    order = list(order)
     keys = df.select(*order)
     n = keys.count()
     size = n // (n_splits + 1)
     if size == 0:
         raise ValueError(f"{n} rows are too few for {n_splits} temporal folds")
-    ranks = [n - (n_splits - k) * size for k in range(n_splits)]
-    return _keys_at(keys, list(order), ranks, n, small_rows)
-
-
-def _keys_at(df: DataFrame, order: list[str], ranks: list[int], n: int, small_rows: int) -> list[tuple]:
-    """Order keys at 0-based ranks among the ``n`` rows of ``df``.
-
-    Few rows are numbered in one window. Otherwise the leading column's values at the
-    ranks are found by counting, and where such a value repeats, the rest of the key
-    is looked up among the rows that share it.
-    """
-    if n <= small_rows:
-        numbered = df.withColumn("_rn", F.row_number().over(W.orderBy(*order)) - 1)
-        near = numbered.where(F.col("_rn").isin(*ranks, *[r - 1 for r in ranks])).collect()
-        found = {row["_rn"]: tuple(row[c] for c in order) for row in near}
-        for rank in ranks:
-            if None in found[rank]:
-                raise ValueError(f"order columns {order} hold nulls")
-            if found.get(rank - 1) == found[rank]:
-                raise ValueError(f"rows repeat in {order}; add a column that tells them apart")
-        return [found[rank] for rank in ranks]
-    lead, rest = order[0], order[1:]
-    targets = [((rank + 0.5) / n, lambda _, rank=rank: [F.lit(rank)]) for rank in ranks]
-    hits = {row["target"]: row for row in values_at_ranks(df, lead, targets).collect()}
-    if len(hits) < len(ranks):
-        raise RuntimeError("a rank fell outside its bracket")
-    if hits[0]["n"] < n:
-        raise ValueError(f"order column {lead!r} holds nulls")
-    keys = []
-    for i, rank in enumerate(ranks):
-        value, shared = hits[i]["value"], hits[i]["n_equal"]
-        if not rest and shared > 1:
-            raise ValueError(f"rows repeat in {order}; add a column that tells them apart")
-        tail = ()
-        if rest:
-            same = df.where(F.col(lead) == _literal(df, lead, value)).select(*rest)
-            tail = _keys_at(same, rest, [rank - hits[i]["n_less"]], shared, small_rows)[0]
-        keys.append((value, *tail))
-    return keys
+    # what is found so far of each key, the rank among the rows that share it, and their number
+    found = [((), n - (n_splits - k) * size, n) for k in range(n_splits)]
+    for depth, column in enumerate(order):
+        lead = order[:depth]
+        part = keys
+        if lead:
+            part = keys.where(reduce(Column.__or__, [_same(df, lead, x[0]) for x in found]))
+        targets = [lambda _, x=x: [F.when(_same(df, lead, x[0]), F.lit(x[1]))] for x in found]
+        hits = {row["target"]: row for row in values_at_ranks(part, column, targets, lead).collect()}
+        for i, (head, rank, shared) in enumerate(found):
+            hit = hits.get(i)
+            if hit is None or hit["n"] < shared:
+                raise ValueError(f"order column {column!r} holds nulls")
+            found[i] = ((*head, hit["value"]), rank - hit["n_less"], hit["n_equal"])
+    if any(shared > 1 for _, _, shared in found):
+        raise ValueError(f"rows repeat in {order}; add a column that tells them apart")
+    return [head for head, _, _ in found]
+
+
+def _same(df: DataFrame, columns: Sequence[str], values: tuple) -> Column:
+    terms = [F.col(c) == _literal(df, c, v) for c, v in zip(columns, values, strict=True)]
+    return reduce(Column.__and__, terms, F.lit(True))
 
 
 def _literal(df: DataFrame, name: str, value) -> Column:

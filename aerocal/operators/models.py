@@ -28,7 +28,8 @@ from aerocal.config import (
     TargetSpec,
 )
 from aerocal.functions import masked, split_label
-from aerocal.operators.orderstat import SMALL_ROWS, exact_medians
+from aerocal.operators.gram import LinearSetting, fold_errors
+from aerocal.operators.orderstat import exact_medians
 
 FEATURES = "_features"
 PREDICTION = "_prediction"
@@ -111,7 +112,6 @@ class Preparation:
         features: Sequence[str],
         label: str,
         scaled: bool = False,
-        small_rows: int = SMALL_ROWS,
     ) -> Preparation:
         """Two small jobs, and a third for means and deviations when ``scaled``.
 
@@ -120,7 +120,7 @@ class Preparation:
         row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
         if not row["n"]:
             raise ValueError("no training rows")
-        found = exact_medians(train, features, small_rows=small_rows, rows=row["n"]).first()
+        found = exact_medians(train, features).first()
         medians = {c: float(found[c]) for c in features if found[c] is not None}
         means, scales = {}, {}
         if scaled:
@@ -213,11 +213,10 @@ def fit_model(
     features: Sequence[str],
     label: str,
     params: ModelParams = None,
-    small_rows: int = SMALL_ROWS,
 ) -> PipelineModel:
     """Fit imputation, scaling and estimator on ``train``; rows without label are left out."""
     train = train.where(F.col(label).isNotNull())
-    prep = Preparation.fit(train, features, label, _needs_scale(params), small_rows)
+    prep = Preparation.fit(train, features, label, _needs_scale(params))
     slim = train.select(*features, F.col(label).cast("double").alias(label))
     last = estimator(params, label, prep.n, prep.label_std)
     return Pipeline(stages=[*prep.stages(features, params), last]).fit(slim)
@@ -252,12 +251,12 @@ def search(
     block: str = "block",
     n_splits: int = 4,
     parallelism: int = 4,
-    small_rows: int = SMALL_ROWS,
 ) -> list[dict]:
     """Mean absolute error of every setting of every candidate over expanding folds.
 
-    ``df`` carries the fold block of each row. Medians and scales are fitted inside
-    each fold, once for all candidates; candidates with the same inputs share one
+    ``df`` carries the fold block of each row. Ridge settings are all solved from sums over
+    the blocks (:func:`aerocal.operators.gram.fold_errors`). For the others, medians and scales are
+    fitted inside each fold, once for all candidates; candidates with the same inputs share one
     cached feature frame. Independent fits are submitted from a few threads, as
     MLlib's own validators do, so that the cluster is not idle between jobs.
     """
@@ -272,13 +271,20 @@ def search(
         for number, c in enumerate(candidates)
         for params in c.grid
     ]
-    used = list(dict.fromkeys(c for row in table for c in row["features"]))
-    scaled = any(_needs_scale(row["params"]) for row in table)
-    for k in range(n_splits):
+    linear = [row for row in table if isinstance(row["params"], RidgeParams)]
+    if linear:
+        settings = [LinearSetting(tuple(row["features"]), row["params"].alpha) for row in linear]
+        found = fold_errors(df, label, settings, block, n_splits).orderBy("fold").collect()
+        for row in found:
+            linear[row["setting"]]["fold_mae"].append(row["mae"])
+    fitted = [row for row in table if row not in linear]
+    used = list(dict.fromkeys(c for row in fitted for c in row["features"]))
+    scaled = any(_needs_scale(row["params"]) for row in fitted)
+    for k in range(n_splits if fitted else 0):
         train, test = df.where(F.col(block) <= k), df.where(F.col(block) == k + 1)
-        prep = Preparation.fit(train, used, label, scaled, small_rows)
+        prep = Preparation.fit(train, used, label, scaled)
         ready: dict[tuple, list[DataFrame]] = {}
-        for row in table:
+        for row in fitted:
             key = _inputs_key(row)
             if key not in ready:
                 model = PipelineModel(prep.stages(row["features"], row["params"]))
@@ -288,12 +294,12 @@ def search(
 
         def score(row: dict, prep=prep, ready=ready) -> float:
             fold_train, fold_test = ready[_inputs_key(row)]
-            fitted = estimator(row["params"], label, prep.n, prep.label_std).fit(fold_train)
+            model = estimator(row["params"], label, prep.n, prep.label_std).fit(fold_train)
             error = F.avg(F.abs(F.col(PREDICTION) - F.col(label))).alias("mae")
-            return fitted.transform(fold_test).agg(error).first()["mae"]
+            return model.transform(fold_test).agg(error).first()["mae"]
 
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            for row, mae in zip(table, pool.map(score, table), strict=True):
+            for row, mae in zip(fitted, pool.map(score, fitted), strict=True):
                 row["fold_mae"].append(mae)
         for parts in ready.values():
             for part in parts:

@@ -1,9 +1,11 @@
-"""Exact order statistics without gathering a group in one task.
-
-A quantile sketch brackets each wanted rank between two values. Rows below the bracket
-are only counted, rows inside it are counted per distinct value, and a running sum over
-those values finds the exact one. The sketch decides how much is left to sort, never
-the result: a rank outside its bracket is an error, not an approximation.
+"""Exact order statistics by refining equal-width histograms.
+
+Each wanted rank lies in a bracket of values, at first the whole range of its group. One
+pass over the rows cuts every bracket into buckets of equal width, counts them map-side and keeps
+the bucket that holds the rank, narrowed to the smallest and largest value in it. This goes on, for all
+groups and columns in the same pass, until a bracket holds one value or at most ``LEAF_ROWS`` rows; only
+those rows are counted per value and put in order. The way is the same at every size: few
+rows need no pass but the last.
 """
 
 from __future__ import annotations
@@ -13,82 +15,145 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerocal.operators.timeaxis import null_safe_join
+from aerocal.session import materialise
+
+#: Buckets a bracket is cut into, and the rows of a bracket that are put in order.
+BUCKETS = 4096
+LEAF_ROWS = 100_000
+
+#: Up to this many brackets pass through the driver and are broadcast; more are written and joined.
+_HELD_ROWS = 10_000
+
+Ranks = Callable[[Column], Sequence[Column]]
 
-# The built-in percentile keeps every distinct value of a group in one buffer.
-# Below this many input rows that buffer is small whatever the data.
-SMALL_ROWS = 4_000_000
 
-# A bracket holds about 2 * _MARGIN / accuracy of a group's rows between its ends.
-_MARGIN = 3
+def position(value: Column, kind: T.DataType) -> Column:
+    """A double that never falls where the value rises."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, T.TimestampNTZType | T.TimestampType):
+        # of the written time, so that no zone and no clock change has a part in it
+        day = F.unix_date(value.cast("date")).cast("double") * 86400
+        return day + F.hour(value) * 3600 + F.minute(value) * 60 + F.date_part(F.lit("SECONDS"), value).cast("double")
+    if isinstance(kind, T.NumericType | T.BooleanType):
+        return value.cast("double")
+    raise TypeError(f"ranks need numbers or times, not {kind.simpleString()}")
 
 
 def values_at_ranks(
     df: DataFrame,
     value: str,
-    targets: Sequence[tuple[float, Callable[[Column], Sequence[Column]]]],
+    targets: Sequence[Ranks],
     keys: Sequence[str] = (),
-    accuracy: int = 10_000,
+    buckets: int = BUCKETS,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Rows of 0-based ranks per group, nulls left out.
 
-    Each target is a share of the rows (0..1) and a function from the group's row count
-    to the ranks near that share. Returns the keys and
-    ``target, rank, n, value, n_less, n_equal``.
-
-    Two passes over (keys, value). The second is combined map-side, so neither a hot
-    group nor a hot value travels row by row; what is sorted per group and target is
-    the distinct values of its bracket.
+    Each target is a function from the group's row count to ranks; it may name key columns, and a
+    null rank is not looked for. Returns the keys and ``target, rank, n, value, n_less, n_equal``.
+    A group without values has one row per target with null rank and value.
     """
     keys = list(keys)
-    slim = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-
-    def at(share: float) -> Column:
-        if share <= 0.0:
-            return F.min("_v")
-        return F.max("_v") if share >= 1.0 else F.percentile_approx("_v", share, accuracy)
-
-    margin = _MARGIN / accuracy
-    spans = [
-        F.struct(F.lit(i).alias("target"), at(s - margin).alias("lo"), at(s + margin).alias("hi"))
-        for i, (s, _) in enumerate(targets)
-    ]
-    bounds = [F.count(F.lit(1)).alias("n"), F.array(*spans).alias("spans")]
-    if keys:
-        bounded = null_safe_join(slim, slim.groupBy(*keys).agg(*bounds), keys)
-    else:
-        row = slim.agg(F.struct(*bounds)).scalar()
-        bounded = slim.withColumn("_row", row).select(
-            "_v", F.col("_row.n").alias("n"), F.col("_row.spans").alias("spans")
-        )
-
-    # Per target a row is below its bracket (value left null) or inside it.
-    entry = F.filter("spans", lambda s: F.col("_v") <= s["hi"])
-    entry = F.transform(
-        entry,
-        lambda s: F.struct(
-            s["target"].alias("target"), F.when(F.col("_v") >= s["lo"], F.col("_v")).alias("value")
-        ),
+    kind = df.schema[value].dataType
+    slim = df.select(*keys, F.col(value).alias("_v"))
+    entries = F.array(
+        *[
+            F.struct(F.lit(i).alias("target"), r.cast("bigint").alias("rank"))
+            for i, ranks in enumerate(targets)
+            for r in ranks(F.col("n"))
+        ]
+    )
+    ranged = slim.groupBy(*keys).agg(
+        F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
     )
-    counted = (
-        bounded.select(*keys, "n", F.inline(entry))
-        .groupBy(*keys, "target", "value")
-        .agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("n_equal"))
+    empty = F.array(*[F.struct(F.lit(i).alias("target"), F.lit(None).cast("bigint").alias("rank")) for i in range(len(targets))])
+    state, few = _held(
+        ranged.select(
+            *keys, "n", "lo", "hi", F.lit(0).cast("bigint").alias("n_less"), F.col("n").alias("inside"),
+            F.inline(F.when(F.col("n") > 0, entries).otherwise(empty)),
+        ).where("n = 0 OR rank IS NOT NULL")
     )
-    running = W.partitionBy(*keys, "target").orderBy(F.asc_nulls_first("value"))
-    placed = counted.withColumn("n_less", F.sum("n_equal").over(running) - F.col("n_equal"))
-
-    wanted = F.lit(None).cast("array<bigint>")
-    for i, (_, ranks) in enumerate(targets):
-        listed = F.array(*[r.cast("bigint") for r in ranks(F.col("n"))])
-        wanted = F.when(F.col("target") == i, listed).otherwise(wanted)
-    hit = placed.select("*", F.explode(wanted).alias("rank")).where(
-        (F.col("rank") >= F.col("n_less")) & (F.col("rank") < F.col("n_less") + F.col("n_equal"))
+    done = []
+    low, high, at = (position(F.col(c), kind) for c in ("lo", "hi", "_v"))
+    wide = (F.col("inside") > leaf_rows) & (low < high)
+    while True:
+        done.append(state.where(~wide | F.col("lo").isNull()))
+        state = state.where(wide)
+        if state.isEmpty():
+            break
+        share = (at / 2 - low / 2) / (high / 2 - low / 2) * buckets
+        bucket = (
+            F.when(at <= low, 0)
+            .when(at >= high, buckets - 1)
+            .otherwise(F.least(F.lit(buckets - 1), F.nanvl(F.floor(share).cast("double"), F.lit(buckets / 2))))
+        )
+        counted = (
+            _inside(slim, state, keys, few)
+            .groupBy(*keys, "lo", bucket.cast("int").alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("size"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+        )
+        running = W.partitionBy(*keys, "lo").orderBy("bucket")
+        counted = counted.withColumn("below", F.sum("size").over(running) - F.col("size"))
+        state, few = _held(
+            null_safe_join(state, counted, [*keys, "lo"])
+            .where(_holds("below", "size"))
+            .select(
+                *keys, "n", F.col("least").alias("lo"), F.col("most").alias("hi"),
+                (F.col("n_less") + F.col("below")).alias("n_less"), F.col("size").alias("inside"), "target", "rank",
+            )
+        )
+    brackets = done[0]
+    for more in done[1:]:
+        brackets = brackets.unionByName(more)
+    single = F.col("lo").isNull() | (F.col("lo") == F.col("hi"))
+    known = brackets.where(single).select(
+        *keys, "target", "rank", "n", F.col("lo").alias("value"), "n_less", F.col("inside").alias("n_equal")
+    )
+    open_ = brackets.where(~single)
+    if few and open_.isEmpty():
+        return known
+    valued = _inside(slim, open_, keys, few).groupBy(*keys, "lo", "_v").agg(F.count(F.lit(1)).alias("size"))
+    running = W.partitionBy(*keys, "lo").orderBy("_v")
+    valued = valued.withColumn("below", F.sum("size").over(running) - F.col("size"))
+    found = (
+        null_safe_join(open_, valued, [*keys, "lo"])
+        .where(_holds("below", "size"))
+        .select(
+            *keys, "target", "rank", "n", F.col("_v").alias("value"),
+            (F.col("n_less") + F.col("below")).alias("n_less"), F.col("size").alias("n_equal"),
+        )
     )
-    missed = F.raise_error(F.lit("a rank fell outside its bracket"))
-    exact = F.when(F.col("value").isNull(), missed).otherwise(F.col("value"))
-    return hit.select(*keys, "target", "rank", "n", exact.alias("value"), "n_less", "n_equal")
+    return known.unionByName(found)
+
+
+def _holds(below: str, size: str) -> Column:
+    """Whether a run of ``size`` values behind ``below`` others of the bracket holds the rank."""
+    inner = F.col("rank") - F.col("n_less")
+    return (inner >= F.col(below)) & (inner < F.col(below) + F.col(size))
+
+
+def _held(state: DataFrame) -> tuple[DataFrame, bool]:
+    """The brackets, kept so that no reader computes them anew, and whether they are few."""
+    rows = state.limit(_HELD_ROWS + 1).collect()
+    if len(rows) <= _HELD_ROWS:
+        return state.sparkSession.createDataFrame(rows, state.schema), True
+    return materialise(state, "brackets"), False
+
+
+def _inside(slim: DataFrame, state: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Rows with the bracket they fall in; brackets of a group are equal or apart."""
+    spans = F.collect_set(F.struct("lo", "hi")).alias("spans")
+    hit = F.filter("spans", lambda s: (F.col("_v") >= s["lo"]) & (F.col("_v") <= s["hi"]))
+    if not keys:
+        bound = slim.withColumn("spans", state.agg(spans).scalar())
+    else:
+        packed = state.groupBy(*keys).agg(spans)
+        bound = null_safe_join(slim, F.broadcast(packed) if few else packed, keys)
+    return bound.select(*keys, "_v", F.inline(hit))
 
 
 def _middle(n: Column) -> list[Column]:
@@ -99,35 +164,19 @@ def exact_medians(
     df: DataFrame,
     columns: Sequence[str],
     keys: Sequence[str] = (),
-    small_rows: int = SMALL_ROWS,
-    rows: int | None = None,
+    buckets: int = BUCKETS,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Exact median per column, averaging the middle pair; one row per group.
 
-    The row count decides the way: up to ``small_rows`` the built-in aggregate
-    holds every distinct value safely; beyond that ranks are found by counting.
-    ``rows`` is the count when the caller knows it already.
+    All columns and groups are looked up in the same passes. A group without values in a column
+    has a null median there.
     """
     columns, keys = list(columns), list(keys)
-    slim = df.select(*keys, *columns)
-    if small_rows and (slim.count() if rows is None else rows) <= small_rows:
-        return slim.groupBy(*keys).agg(*[F.median(F.col(c)).alias(c) for c in columns])
-    return _medians_by_rank(slim, columns, keys)
-
-
-def _medians_by_rank(slim: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     pairs = [F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in columns]
-    long = slim.select(*keys, F.inline(F.array(*pairs)))
-    at = values_at_ranks(long, "_x", [(0.5, _middle)], keys + ["_name"])
-    # Two middle ranks per column, equal when the count is odd; none if all are null.
-    missed = F.raise_error(F.lit("a rank fell outside its bracket"))
-
-    def middle(c: str) -> Column:
-        mine = F.when(F.col("_name") == c, F.col("value"))
-        return F.when(F.count(mine).isin(0, 2), F.avg(mine)).otherwise(missed)
-
-    found = at.groupBy(*keys).agg(*[middle(c).alias(c) for c in columns])
-    if not keys:
-        return found
-    # A group with no value at all still has its row, with null medians.
-    return null_safe_join(slim.select(*keys).distinct(), found, keys, "left")
+    long = df.select(*keys, F.inline(F.array(*pairs)))
+    at = values_at_ranks(long, "_x", [_middle], [*keys, "_name"], buckets, leaf_rows)
+    # two middle ranks per column, equal when the count is odd; none if all are null
+    return at.groupBy(*keys).agg(
+        *[F.avg(F.when(F.col("_name") == c, F.col("value"))).alias(c) for c in columns]
+    )

@@ -109,16 +109,24 @@ def ols_baseline(spark, sf):
 
 @query(
     f"""WITH {_OLS}
-SELECT f.sensor_id, {ls("f.ts")} AS ts,
-  {rs("CASE WHEN o3 IS NOT NULL AND t IS NOT NULL AND h IS NOT NULL THEN intercept + w0 * o3 + w1 * t + w2 * h END", 4)} AS O3_baseline_cal
-FROM fused f, coef"""
+SELECT f.sensor_id, month(f.ts) AS month, count(*) AS n_rows, count(v) AS n_scored, {rs("avg(v)", 4)} AS mean_cal,
+  {rs("min(v)", 4)} AS low_cal, {rs("max(v)", 4)} AS high_cal
+FROM (SELECT *, CASE WHEN o3 IS NOT NULL AND t IS NOT NULL AND h IS NOT NULL THEN intercept + w0 * o3 + w1 * t + w2 * h END AS v
+      FROM fused, coef) f GROUP BY 1, 2"""
 )
 def full_period_linear(spark, sf):
-    """The linear baseline over all rows whose features are all present."""
+    """The linear baseline over all rows whose features are all present, per sensor and month."""
     rows = fused(spark, sf)
     model = fit_model(_splits(spark, sf).where("split = 'train'"), SPEC.features, SPEC.label)
-    out = predict(model, rows, "O3_baseline_cal", where=all_present(SPEC.features))
-    return out.select("sensor_id", label("ts").alias("ts"), r("O3_baseline_cal", 4).alias("O3_baseline_cal"))
+    return _by_month(predict(model, rows, "O3_baseline_cal", where=all_present(SPEC.features)))
+
+
+def _by_month(scored: DataFrame) -> DataFrame:
+    v = F.col("O3_baseline_cal")
+    return scored.groupBy("sensor_id", F.month("ts").cast("long").alias("month")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n_scored"), r(F.avg(v), 4).alias("mean_cal"),
+        r(F.min(v), 4).alias("low_cal"), r(F.max(v), 4).alias("high_cal"),
+    )
 
 
 @query(
@@ -356,12 +364,12 @@ def full_period_residual(spark, sf):
 
 @query(
     f"""WITH {BASELINE_SQL}
-SELECT f.sensor_id, {ls("f.ts")} AS ts,
-  {rs("CASE WHEN coalesce(f.o3, f.t, f.h) IS NOT NULL THEN alpha + beta * (coalesce(f.o3, mo3) / 1.451e0 + 0.1034e0 * pow(coalesce(f.t, mt), 2) - 2.225e0 * coalesce(f.t, mt) + 0.01223e0 * pow(coalesce(f.h, mh), 2) - 1.984e0 * coalesce(f.h, mh) + 79) END", 4)} AS O3_baseline_cal
-FROM fused f, med, line"""
+SELECT sensor_id, month(ts) AS month, count(*) AS n_rows, count(v) AS n_scored, {rs("avg(v)", 4)} AS mean_cal,
+  {rs("min(v)", 4)} AS low_cal, {rs("max(v)", 4)} AS high_cal
+FROM (SELECT f.sensor_id, f.ts, CASE WHEN coalesce(f.o3, f.t, f.h) IS NOT NULL THEN alpha + beta * (coalesce(f.o3, mo3) / 1.451e0 + 0.1034e0 * pow(coalesce(f.t, mt), 2) - 2.225e0 * coalesce(f.t, mt) + 0.01223e0 * pow(coalesce(f.h, mh), 2) - 1.984e0 * coalesce(f.h, mh) + 79) END AS v
+      FROM fused f, med, line) GROUP BY 1, 2"""
 )
 def full_period_baseline(spark, sf):
-    """The compensated baseline over all rows with any feature, train medians."""
+    """The compensated baseline over all rows with any feature, train medians, per sensor and month."""
     _, params = fitted_baseline(spark, sf)
-    out = apply_compensated_baseline(fused(spark, sf), SPEC, params, "O3_baseline_cal")
-    return out.select("sensor_id", label("ts").alias("ts"), r("O3_baseline_cal", 4).alias("O3_baseline_cal"))
+    return _by_month(apply_compensated_baseline(fused(spark, sf), SPEC, params, "O3_baseline_cal"))

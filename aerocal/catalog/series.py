@@ -121,9 +121,9 @@ def outlier_mask_interpolate(spark, sf):
 SELECT event_id, {rs("forward")} AS value FROM smooth"""
 )
 def interpolate_long_series(spark, sf):
-    """Few long series, cut into time chunks: no series is sorted in one task."""
+    """Few long series, cut into chunks of rows: no series is sorted in one task."""
     masked = readings(spark, sf).withColumn("value", mask_outside(F.col("value")))
-    out = interpolate_raw(masked, ["value"], ["variable"], chunk="1 hour", tie=["event_id"])
+    out = interpolate_raw(masked, ["value"], ["variable"], tie=["event_id"], chunk_rows=1000, group_chunks=10)
     return out.select("event_id", r("value").alias("value"))
 
 

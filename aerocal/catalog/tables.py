@@ -45,7 +45,7 @@ from aerocal.operators.calibrate import impute, two_point_calibrate
 from aerocal.operators.models import labelled_splits
 from aerocal.operators.orderstat import exact_medians
 from aerocal.operators.quality import coverage_by, coverage_total, optional_column, require_columns
-from aerocal.operators.timeaxis import resample
+from aerocal.operators.timeaxis import numbered, resample
 
 _ROUNDED = ", ".join(f"{rs(t)} AS {t}" for t in TYPES)
 
@@ -94,6 +94,36 @@ def align_positions(spark, sf):
     return out.select(label("ts").alias("ts"), r("a").alias("a"), r("b").alias("b"))
 
 
+@query(
+    f"""WITH {FUSED_SQL},
+a AS (SELECT sensor_id, ts, o3, row_number() OVER (PARTITION BY sensor_id ORDER BY ts) AS rn FROM daily),
+b AS (SELECT sensor_id, y, row_number() OVER (PARTITION BY sensor_id ORDER BY ts + INTERVAL 17 MINUTE) AS rn FROM daily)
+SELECT a.sensor_id, {ls("ts")} AS ts, {rs("o3", 10)} AS signal, {rs("y", 10)} AS reference
+FROM a JOIN b ON a.sensor_id = b.sensor_id AND a.rn = b.rn"""
+)
+def align_positions_by_sensor(spark, sf):
+    """Two records of each sensor whose clocks differ, row by row; lengths must agree."""
+    rows = daily(spark, sf)
+    signal = rows.select("sensor_id", "ts", F.col("O3_lcs_ppb").alias("signal"))
+    late = F.col("ts") + F.expr("INTERVAL 17 MINUTES")
+    reference = rows.select("sensor_id", late.alias("ts"), F.col("O3_ref").alias("reference"))
+    out = align_by_position(signal, reference, keys=["sensor_id"])
+    return out.select("sensor_id", label("ts").alias("ts"), r("signal", 10).alias("signal"), r("reference", 10).alias("reference"))
+
+
+@query(
+    f"""WITH {READINGS_SQL}
+SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place,
+  row_number() OVER (PARTITION BY variable ORDER BY ts, event_id) AS place_in_variable FROM readings"""
+)
+def row_positions(spark, sf):
+    """Places of all raw rows, over the table and per variable, without a window over rows."""
+    rows = readings(spark, sf).select("event_id", "variable", "ts")
+    order = ["ts", "event_id"]
+    out = numbered(numbered(rows, [], order, "place"), ["variable"], order, "place_in_variable")
+    return out.select("event_id", "place", "place_in_variable")
+
+
 @query(
     f"""WITH {HOURLY_SQL},
 pairs AS (SELECT unnest(['click', 'view']) AS source),

@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from aerocal.operators.timeaxis import numbered
+
 
 def outer_join_variables(tables: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     """Full outer join of several tables on the same keys.
@@ -40,18 +41,17 @@ def fuse(sensor: DataFrame, reference: DataFrame, on: Sequence[str]) -> DataFram
 def align_by_position(
     left: DataFrame, right: DataFrame, ts: str = "ts", keys: Sequence[str] = (), strict: bool = True
 ) -> DataFrame:
-    """Row i of one grid with row i of the other, per series.
+    """Row i of one table with row i of the other, in order of ``ts``, per series or over all rows.
 
-    For grids (one row per series and bin), whose series length the calendar
-    bounds. ``strict`` raises when the lengths differ, as position has no meaning
-    then. Both inputs keep their own columns; ``ts`` of the right one is dropped.
+    ``strict`` raises when the lengths differ, as position has no meaning then. Both inputs keep
+    their own columns; ``ts`` of the right one is dropped. Rows are numbered by range
+    (:func:`aerocal.operators.timeaxis.numbered`), so no series is sorted in one task.
     """
     keys = list(keys)
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(ts)
-    a = left.withColumn("_pos", F.row_number().over(w))
-    b = right.withColumn("_pos", F.row_number().over(w)).drop(ts)
     if strict:
         _require_same_length(left, right, keys)
+    a = numbered(left, keys, [ts], "_pos")
+    b = numbered(right, keys, [ts], "_pos").drop(ts)
     return a.join(b, keys + ["_pos"], "inner").drop("_pos")
 
 

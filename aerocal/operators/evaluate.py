@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from aerocal.functions import (
     power_sums,
     quadratic_from_sums,
     signed_error,
+    student_p,
 )
 
 METRICS = ("r2", "rmse", "mae", "n")
@@ -54,25 +53,17 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.corr(a, b).alias("r"), F.regr_count(b, a).alias("n"))
 
 
-def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Slope, intercept, r, t and two-sided p of the straight-line fit of y on x.
+def pearson_test(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Slope, intercept, r, n, t and two-sided p of the straight-line fit of y on x, per group.
 
-    The p-value of r and of the slope are the same test; it comes from the
-    one-feature least-squares summary, which is one aggregate over the rows.
+    The p-value of r and of the slope are the same test. One aggregate over the rows; t and p are null
+    with fewer than three pairs or without spread, and p is 0 on a perfect line.
     """
-    pairs = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).dropna()
-    pairs = VectorAssembler(inputCols=["_x"], outputCol="_f").transform(pairs)
-    model = LinearRegression(featuresCol="_f", labelCol="_y", solver="normal", regParam=0.0).fit(pairs)
-    s = model.summary
-    fit = pairs.agg(*line_fit(F.col("_y"), F.col("_x")))
-    return fit.select(
-        "slope",
-        "intercept",
-        "r",
-        "n",
-        F.lit(float(s.tValues[0])).alias("t"),
-        F.lit(float(s.pValues[0])).alias("p"),
-    )
+    fit = df.groupBy(*keys).agg(*line_fit(F.col(y).cast("double"), F.col(x).cast("double")))
+    dof, rest = F.col("n") - 2, 1 - F.col("r") * F.col("r")
+    fit = fit.withColumn("t", F.when((dof > 0) & (rest > 0), F.col("r") * F.sqrt(dof / rest)))
+    p = F.when((dof > 0) & (rest <= 0), 0.0).otherwise(student_p(F.col("t"), dof))
+    return fit.select(*keys, "slope", "intercept", "r", "n", "t", p.alias("p"))
 
 
 def trend_lines(df: DataFrame, reference: str, models: Mapping[str, str]) -> DataFrame:

@@ -5,9 +5,9 @@ Two kinds of input are told apart, because their group sizes differ:
 * *grids*: one row per series and time bin, as :func:`resample` returns. A
   series then has at most (last - first) / bin rows however many raw readings
   it had, so a window over one series is bounded by the calendar.
-* *raw rows*: any number of readings per series; one series may hold a third of
-  the table. Windows over these run per (series, time chunk), and what crosses a
-  chunk border travels through a summary with one row per chunk.
+* *raw rows*: any number of readings per series; one series, or one instant of it, may hold
+  a third of the table. Rows are numbered by range, windows run over chunks of so many
+  rows, and what crosses a chunk border travels through summaries of chunks and of chunk groups.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aerocal.session import materialise
+
 Names = Sequence[str]
 
 
@@ -142,21 +144,50 @@ def interpolate(
     ).select(*grid.columns)
 
 
-# Widths tried for a chunk, widest first, and the rows one chunk may hold.
-CHUNK_WIDTHS = ("1 day", "1 hour", "1 minute", "1 second", "1 millisecond")
-CHUNK_ROWS = 1_000_000
+# Rows a window over raw rows may hold, and chunk summaries a window over them.
+CHUNK_ROWS = 100_000
+GROUP_CHUNKS = 10_000
+
+# Up to this many offsets (one per partition and series) are broadcast; more are joined.
+_OFFSET_ROWS = 100_000
 
 
-def chunk_width(df: DataFrame, keys: Names, ts: str = "ts", rows: int = CHUNK_ROWS) -> str:
-    """Widest chunk whose fullest (series, chunk) stays within ``rows``.
+def numbered(df: DataFrame, keys: Names, order: Names, out: str = "_rn") -> DataFrame:
+    """Position of every row in its series, from 1, in an order of the whole table.
 
-    Counts per chunk are combined map-side and only their maximum leaves the cluster.
+    Rows are sorted by range of (keys, order) and written with their partition and their place in
+    it. A series may span partitions: its rows in earlier ones are added from one count per partition
+    and series. So no window holds rows, and neither a hot series nor a hot time meets in one
+    task. Rows that tie in ``order`` follow a hash of all their columns, so equal rows are the only ones
+    whose places could be exchanged. Without ``keys`` the whole table is one series.
     """
-    for width in CHUNK_WIDTHS:
-        sizes = df.where(F.col(ts).isNotNull()).groupBy(*keys, time_bin(F.col(ts), width)).count()
-        if (sizes.agg(F.max("count")).first()[0] or 0) <= rows:
-            return width
-    return CHUNK_WIDTHS[-1]
+    keys = list(keys)
+    if not df.columns:
+        raise ValueError("a table without columns has no order")
+    tie = F.xxhash64(*[c for c, kind in df.dtypes if "map" not in kind])
+    sort = [*keys, *order, "_tie"]
+    placed = materialise(
+        df.withColumn("_tie", tie)
+        .repartitionByRange(*sort)
+        .sortWithinPartitions(*sort)
+        .drop("_tie")
+        .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}),
+        "numbered",
+    )
+    present = _present_keys(df, keys)
+    series = list(present)
+    rows = placed.withColumns(present)
+    counts = rows.groupBy("_part", *series).agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+    # one row per partition of a series, at most as many as there are partitions
+    before = W.partitionBy(*series) if series else W.partitionBy(F.lit(0))
+    earlier = F.sum("_size").over(before.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = materialise(
+        counts.select("_part", *series, (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_offset")), "offsets"
+    )
+    if offsets.limit(_OFFSET_ROWS + 1).count() <= _OFFSET_ROWS:
+        offsets = F.broadcast(offsets)
+    joined = rows.join(offsets, ["_part", *series])
+    return joined.select(*df.columns, (F.col("_at") + F.col("_offset")).alias(out))
 
 
 def interpolate_raw(
@@ -165,61 +196,70 @@ def interpolate_raw(
     keys: Names,
     ts: str = "ts",
     both: bool = False,
-    chunk: str | None = None,
     tie: Names = (),
+    chunk_rows: int = CHUNK_ROWS,
+    group_chunks: int = GROUP_CHUNKS,
 ) -> DataFrame:
-    """:func:`interpolate` for raw rows, whatever the size of a series.
-
-    Windows run per (series, time chunk). Each chunk is reduced to its row count
-    and its first and last known value; a window over those summaries gives every
-    chunk its row offset and the neighbours outside it. Rows and summaries share one
-    hash partitioning, so joining them back moves only the summaries. Rows without a
-    time are left out; ``tie`` makes the order total where times repeat. Without
-    ``chunk`` its width follows the densest series (:func:`chunk_width`).
+    """:func:`interpolate` for raw rows, whatever the size of a series or of one instant of it.
+
+    Rows are numbered (:func:`numbered`) and cut into chunks of ``chunk_rows``. Windows run per chunk;
+    each chunk is reduced to its first and last known value. What lies outside a chunk comes from a
+    scan over those summaries in groups of ``group_chunks`` chunks, and what lies outside a group from
+    a scan over the groups. Rows without a time are left out; ``tie`` makes the order total
+    where times repeat.
     """
     keys = list(keys)
-    chunk = chunk or chunk_width(df, keys, ts)
     cols = df.columns
-    present = _present_keys(df, keys)
-    rows = df.where(F.col(ts).isNotNull()).withColumns(present)
-    rows = rows.withColumn("_chunk", time_bin(F.col(ts), chunk))
-    series, part = list(present), [*present, "_chunk"]
-    rows = _numbered(rows, part, [ts, *tie])
-
-    aggs = [F.count(F.lit(1)).alias("_size")]
-    for c in columns:
-        aggs += [F.max(_known(c)).alias(f"_tail_{c}"), F.min(_known(c)).alias(f"_head_{c}")]
-    chunks = rows.groupBy(*part).agg(*aggs)
-    earlier = (W.unboundedPreceding, -1)
-    before = W.partitionBy(*series).orderBy("_chunk").rowsBetween(*earlier)
-    after = W.partitionBy(*series).orderBy(F.desc("_chunk")).rowsBetween(*earlier)
-    chunks = chunks.withColumn("_off", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-
-    def placed(name: str) -> Column:
-        s = F.col(name)
-        return F.when(
-            s.isNotNull(), F.struct((s["rn"] + F.col("_off")).alias("rn"), s["x"].alias("x"))
-        )
-
-    for c in columns:
-        chunks = chunks.withColumns(
-            {
-                f"_in_{c}": F.last(placed(f"_tail_{c}"), ignorenulls=True).over(before),
-                f"_out_{c}": F.last(placed(f"_head_{c}"), ignorenulls=True).over(after),
-            }
+    rows = numbered(df.where(F.col(ts).isNotNull()), keys, [ts, *tie]).withColumns(_present_keys(df, keys))
+    series = list(_present_keys(df, keys))
+    rows = rows.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
+    part = [*series, "_chunk"]
+    ends = [
+        side
+        for c in columns
+        for side in (F.max(_known(c)).alias(f"_tail_{c}"), F.min(_known(c)).alias(f"_head_{c}"))
+    ]
+    chunks = rows.groupBy(*part).agg(*ends)
+    chunks = chunks.withColumn("_group", F.floor(F.col("_chunk") / group_chunks))
+    group = [*series, "_group"]
+    groups = chunks.groupBy(*group).agg(
+        *[F.max(f"_tail_{c}").alias(f"_tail_{c}") for c in columns], *[F.min(f"_head_{c}").alias(f"_head_{c}") for c in columns]
+    )
+    groups = _outside(groups, columns, series, "_group").select(
+        *group, *[F.col(f"_{side}_{c}").alias(f"_g{side}_{c}") for c in columns for side in ("in", "out")]
+    )
+    carries = (
+        _outside(chunks, columns, group, "_chunk")
+        .join(groups, group)
+        .select(
+            *part,
+            *[
+                F.coalesce(f"_{side}_{c}", f"_g{side}_{c}").alias(f"_{side}_{c}")
+                for c in columns
+                for side in ("in", "out")
+            ],
         )
-    carries = chunks.select(
-        *part, "_off", *[F.col(f"_{side}_{c}") for c in columns for side in ("in", "out")]
     )
+    joined = _with_neighbours(rows, columns, part, ["_rn"]).join(carries, part)
+    out = {
+        c: _blend(
+            F.col("_rn"), F.col(c), F.coalesce(f"_p_{c}", f"_in_{c}"), F.coalesce(f"_n_{c}", f"_out_{c}"), both
+        )
+        for c in columns
+    }
+    return joined.withColumns(out).select(*cols)
+
 
-    joined = _with_neighbours(rows, columns, part, [ts, *tie]).join(carries, part)
-    rn = F.col("_rn") + F.col("_off")
-    out = {}
+def _outside(summaries: DataFrame, columns: Names, series: Names, order: str) -> DataFrame:
+    """Add the last known value before (``_in_``) and the first one behind (``_out_``) each summary."""
+    earlier = (W.unboundedPreceding, -1)
+    before = W.partitionBy(*series).orderBy(order).rowsBetween(*earlier)
+    after = W.partitionBy(*series).orderBy(F.desc(order)).rowsBetween(*earlier)
+    found = {}
     for c in columns:
-        before_c = F.coalesce(placed(f"_p_{c}"), F.col(f"_in_{c}"))
-        after_c = F.coalesce(placed(f"_n_{c}"), F.col(f"_out_{c}"))
-        out[c] = _blend(rn, F.col(c), before_c, after_c, both)
-    return joined.withColumns(out).select(*cols)
+        found[f"_in_{c}"] = F.last(f"_tail_{c}", ignorenulls=True).over(before)
+        found[f"_out_{c}"] = F.last(f"_head_{c}", ignorenulls=True).over(after)
+    return summaries.withColumns(found)
 
 
 def _present_keys(df: DataFrame, keys: Names) -> dict[str, Column]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aerocal.functions import error_stats, fit_metrics, line_fit, mape
+from aerocal.functions import error_stats, fit_metrics, line_fit, mape, student_p
 from aerocal.operators.evaluate import (
     correlation,
     curve_points,
@@ -79,6 +79,34 @@ def test_pearson_p_value(spark):
     assert correlation(df, "x", "y").first().r == pytest.approx(r)
 
 
+def test_student_p_against_closed_forms(spark):
+    """One and two degrees of freedom have closed forms; very many are the normal distribution."""
+    ts = [0.0, 1e-9, 1e-3, 0.3, 1.0, -2.5, 30.0, 1e4]
+    rows = [(t, v) for t in ts for v in (1, 2, 10**12)] + [(1.0, 0), (None, 5)]
+    df = spark.createDataFrame(rows, "t double, v long")
+    got = {(r.t, r.v): r.p for r in df.select("t", "v", student_p(F.col("t"), F.col("v")).alias("p")).collect()}
+    for t in ts:
+        a = abs(t)
+        assert got[t, 1] == pytest.approx(2 / math.pi * math.atan2(1, a), rel=1e-11)
+        assert got[t, 2] == pytest.approx(2 / (math.sqrt(2 + a * a) * (math.sqrt(2 + a * a) + a)), rel=1e-11)
+        assert got[t, 10**12] == pytest.approx(math.erfc(a / math.sqrt(2)), rel=1e-6, abs=1e-300)
+    assert got[1.0, 0] is None and got[None, 5] is None
+
+
+def test_pearson_p_per_group(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, float(x), float(x * w + rng.normal())) for k, w in (("a", 0.0), ("b", 1.0), (None, 0.3)) for x in rng.normal(size=40)]
+    rows += [("two", 1.0, 2.0), ("two", 2.0, 5.0), ("line", 1.0, 2.0), ("line", 2.0, 4.0), ("line", 3.0, 6.0), ("flat", 1.0, 1.0)]
+    rows += [("a", None, 1.0), ("flat", 1.0, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r.k: r for r in pearson_test(df, "x", "y", ["k"]).collect()}
+    for k in ("a", "b", None):
+        assert got[k].n == 40
+        assert got[k].p == pytest.approx(_student_tail(got[k].t, 38), rel=1e-3)
+    assert got["two"].p is None and got["flat"].p is None
+    assert got["line"].p == pytest.approx(0.0, abs=1e-6)
+
+
 def test_error_analysis_matches_polyfit(noisy):
     df, (ref, m, temp, rh) = noisy
     rows = {(r.covariate, r.error_kind): r for r in error_analysis(df, "ref", "m", {"temp": "temp", "rh": "rh"}).collect()}

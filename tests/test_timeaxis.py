@@ -1,16 +1,18 @@
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from aerocal.operators.timeaxis import (
-    chunk_width,
     dedupe_first,
     fill_time_gaps,
     interpolate,
     interpolate_raw,
+    numbered,
     resample,
     rolling_mean,
 )
@@ -65,13 +67,13 @@ def test_interpolate_all_null(hours, fill):
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.one_of(st.none(), st.integers(-50, 50).map(float)), min_size=1, max_size=40),
-    st.sampled_from(["1 hour", "4 hours", "1 day"]),
+    st.sampled_from([1, 3, 100]),
     st.booleans(),
 )
 def test_chunks_equal_whole_series(hours, values, chunk, both):
     df = hours(values).unionByName(hours(list(reversed(values)), key=None))
     whole = {(r.key, r.ts): r.x for r in interpolate(df, ["x"], ["key"], both=both).collect()}
-    parts = {(r.key, r.ts): r.x for r in interpolate_raw(df, ["x"], ["key"], both=both, chunk=chunk).collect()}
+    parts = {(r.key, r.ts): r.x for r in interpolate_raw(df, ["x"], ["key"], both=both, chunk_rows=chunk, group_chunks=2).collect()}
     assert parts.keys() == whole.keys()
     for key, value in whole.items():
         assert parts[key] == (None if value is None else pytest.approx(value))
@@ -86,7 +88,7 @@ def test_interpolate_raw_counts_rows_not_time(spark):
     minutes = [0, 1, 2, 60 * 30, 60 * 50]
     rows = [("a", base + dt.timedelta(minutes=m), x) for m, x in zip(minutes, [0.0, None, None, None, 4.0])]
     df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, x double")
-    assert column(interpolate_raw(df, ["x"], ["key"], chunk="1 hour"), "x") == pytest.approx([0, 1, 2, 3, 4])
+    assert column(interpolate_raw(df, ["x"], ["key"], chunk_rows=2), "x") == pytest.approx([0, 1, 2, 3, 4])
 
 
 def test_dedupe_is_deterministic_and_pruned_early(spark):
@@ -98,12 +100,34 @@ def test_dedupe_is_deterministic_and_pruned_early(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_chunk_width_follows_the_densest_series(spark):
+def test_interpolate_one_hot_series_and_one_dense_instant(spark):
+    """Most rows share one series, and most of those one millisecond; no chunk holds more than 50 rows."""
     base = dt.datetime(2024, 1, 1)
-    burst = [("hot", base + dt.timedelta(seconds=i), 1.0) for i in range(300)]
-    calm = [("calm", base + dt.timedelta(hours=i), 1.0) for i in range(100)]
-    df = spark.createDataFrame(burst + calm, "key string, ts timestamp_ntz, x double")
-    assert chunk_width(df, ["key"], rows=1000) == "1 day"
-    assert chunk_width(df, ["key"], rows=100) == "1 minute"
-    assert chunk_width(df, ["key"], rows=10) == "1 second"
-    assert chunk_width(df.limit(0), ["key"], rows=10) == "1 day"
+    rng = random.Random(6)
+    times = [base + dt.timedelta(milliseconds=rng.choice([5] * 8 + [0, 1, 9])) for _ in range(2000)]
+    rows = [("hot", t, i, rng.random() if rng.random() < 0.02 else None) for i, t in enumerate(times)]
+    rows += [(k, base, i, float(i) if i % 5 == 0 else None) for k in ("a", None) for i in range(30)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, i int, x double").repartition(5)
+    got = {(r.key, r.i): r.x for r in interpolate_raw(df, ["x"], ["key"], both=True, tie=["i"], chunk_rows=50, group_chunks=3).collect()}
+    for key in ("hot", "a", None):
+        part = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
+        known = [n for n, r in enumerate(part) if r[3] is not None]
+        want = np.interp(range(len(part)), known, [part[n][3] for n in known])
+        assert [got[key, r[2]] for r in part] == pytest.approx(list(want))
+
+
+def test_numbered(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "x", None]), rng.randint(0, 20), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, a int, b int").repartition(7)
+    got = {r.b: r.place for r in numbered(df, [], ["a", "b"], "place").collect()}
+    assert got == {r[2]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: r[1:]))}
+    got = {r.b: r._rn for r in numbered(df, ["k"], ["a", "b"]).collect()}
+    for k in ("hot", "x", None):
+        part = sorted((r for r in rows if r[0] == k), key=lambda r: r[1:])
+        assert [got[r[2]] for r in part] == list(range(1, len(part) + 1))
+    same = numbered(spark.createDataFrame([(1,)] * 40, "a int").repartition(3), [], ["a"])
+    assert sorted(r._rn for r in same.collect()) == list(range(1, 41))
+    assert numbered(df.limit(0), ["k"], ["a"]).collect() == []
+    plan = same._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan

@@ -12,14 +12,19 @@ den * intersection >= num * union. The steps:
    one group is compared with all others (a star) and then leaves; buckets whose remaining
    groups are all in one component are done, for further links among them change nothing.
    After some rounds what is left is compared in pairs, but only across components.
-4. Candidate groups are expanded to their classes, and pairs verified by their whole sets.
+4. Candidate groups are expanded to their classes. Each set has a parity sketch: bit i is the parity of
+   the number of shingles that fall on i. Two sketches differ in no more bits than their sets differ in
+   shingles, so a pair with too many differing bits cannot link and goes before whole sets
+   travel. In the last comparison the sketches are part of the join itself. What is left is verified
+   by the whole sets.
 
 So the comparisons in a group of copies grow with its size and not its square, and no link
 between components is left out. Components come from alternating star steps.
 
 Defined cases: a null text, an empty one or one without a word has an empty set and links with
 nothing; fewer words than a shingle has are one shingle. Rows with a null doc_id link with nothing
-and have a null component. Of different texts under one id the one with the smallest set digest is compared for all. An
+and have a null component. Classes are known by the digest of their set, so different texts under one
+id are each compared, and each has its own row and component. An
 empty table gives an empty result. Other columns are not read by :func:`near_duplicates` and are
 returned unchanged by :func:`keep_one_each`.
 """
@@ -31,13 +36,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerocal.llm.common import fresh, id_text, named, utf8
 from aerocal.llm.components import connected
 from aerocal.session import materialise
 
+#: Longs of a parity sketch.
+SKETCH = 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -86,6 +93,18 @@ def ranks(h: np.ndarray, words: int, often: np.ndarray, counts: np.ndarray) -> n
     return np.minimum.reduce([rank[k : k + n] for k in range(min(words, len(h)))])
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set of shingle hashes, as int64 words."""
+    bits = np.bincount((items.view(np.uint64) >> np.uint64(7)) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_link(num: int, den: int, a: str, b: str, n_a: str, n_b: str) -> Column:
+    """Whether sketches ``a`` and ``b`` of sets of these sizes differ in few enough bits."""
+    differ = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH))
+    return F.expr(f"({differ}) * {den + num}L <= ({n_a} + {n_b}) * {den - num}L")
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
@@ -128,13 +147,13 @@ def frequent_words(texts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _signatures(texts: DataFrame, words: int, num: int, den: int, limit: int) -> DataFrame:
-    """One row per document: doc_id, n, digest of the set, digest of the prefix, prefix."""
+    """One row per document: doc_id, n, digest of the set, digest of the prefix, prefix, sketch."""
     order = texts.sparkSession.sparkContext.broadcast(frequent_words(texts, limit))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, (often, counts) = WordHashes(), order.value
         for batch in batches:
-            sizes, digests, heads, prefixes = [], [], [], []
+            sizes, digests, heads, prefixes, sketches = [], [], [], [], []
             for text in utf8(batch.column(1)):
                 h = word_hashes(text, held)
                 found, place = np.unique(rolled(h, words), return_index=True)
@@ -145,17 +164,21 @@ def _signatures(texts: DataFrame, words: int, num: int, den: int, limit: int) ->
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 heads.append(xxhash.xxh3_128_digest(prefix.tobytes()))
                 prefixes.append(prefix)
+                sketches.append(sketch(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(heads, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "head", "prefix"],
+                 pa.array(heads, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "n", "digest", "head", "prefix", "sketch"],
             )
 
-    return texts.mapInArrow(sign, "doc_id long, n long, digest binary, head binary, prefix array<long>")
+    return texts.mapInArrow(
+        sign, "doc_id long, n long, digest binary, head binary, prefix array<long>, sketch array<long>"
+    )
 
 
 def _sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingle array) of the documents that stand for the classes ``nodes`` (node, digest)."""
+    """(node, shingle array) of the documents that stand for the classes ``nodes`` (doc_id, node)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = WordHashes()
@@ -164,22 +187,29 @@ def _sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
             same = [d == bytes(e) for d, e in zip(digests, batch.column(2).to_pylist())]
             whole = pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "items"]
+                [batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["node", "items"]
             )
             yield whole.filter(pa.array(same, pa.bool_()))
 
     # rows repeated whole go before the sets are built; what is left of one id only repeats links
     wanted = (
-        texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
+        texts.join(nodes, "doc_id")
         .withColumn("key", F.xxhash64("text"))
-        .dropDuplicates(["doc_id", "key"])
-        .select("doc_id", "text", "digest")
+        .dropDuplicates(["node", "key"])
+        .select("doc_id", "text", "node")
     )
-    return wanted.mapInArrow(build, "node long, items array<long>")
+    return wanted.mapInArrow(build, "node binary, items array<long>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _links(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; sketches sort out most of the others."""
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    pairs = materialise(
+        pairs.join(left, "a").join(right, "b")
+        .where(_may_link(num, den, "sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b"),
+        "likely",
+    )
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
@@ -191,9 +221,11 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, grouped: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(
+    pairs: DataFrame, grouped: DataFrame, sets: DataFrame, sketches: DataFrame, num: int, den: int
+) -> DataFrame:
     """Links between the groups of ``pairs``: first groups as such, then the classes in the others."""
-    first = materialise(_links(pairs, sets, num, den), "links")
+    first = materialise(_links(pairs, sets, sketches, num, den), "links")
     if grouped.isEmpty():
         return first
     left = grouped.select(F.col("grp").alias("a"), F.col("node").alias("node_a"))
@@ -205,7 +237,7 @@ def _verified(pairs: DataFrame, grouped: DataFrame, sets: DataFrame, num: int, d
         .where((F.col("a") != F.col("node_a")) | (F.col("b") != F.col("node_b")))
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     )
-    return materialise(first.unionByName(_links(rest, sets, num, den)), "links")
+    return materialise(first.unionByName(_links(rest, sets, sketches, num, den)), "links")
 
 
 def class_links(
@@ -215,11 +247,16 @@ def class_links(
     rows = materialise(_signatures(texts, words, num, den, limit), "signatures")
     named_rows = rows.where("n > 0 and doc_id is not null")
     classes = materialise(
-        named_rows.groupBy("digest", "n", "head").agg(F.min("doc_id").alias("node")), "classes"
+        named_rows.groupBy(F.col("digest").alias("node"), "n", "head").agg(
+            F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")
+        ),
+        "classes",
     )
-    groups = classes.groupBy("head", "n").agg(F.min("node").alias("grp"), F.count("*").alias("size"))
-    heads = named_rows.select("doc_id", "n", "head", "prefix").join(
-        groups.withColumn("doc_id", F.col("grp")), ["head", "n", "doc_id"]
+    groups = classes.groupBy("head", "n").agg(
+        F.min(F.struct("node", "doc_id")).alias("first"), F.count("*").alias("size")
+    ).select("size", F.col("first.node").alias("grp"), F.col("first.doc_id").alias("doc_id"), "head", "n")
+    heads = named_rows.select("doc_id", F.col("digest").alias("grp"), "prefix").join(
+        groups, ["grp", "doc_id"]
     )
     tokens = heads.select(F.explode("prefix").alias("token"), "grp", "n", "size")
     shared = (
@@ -234,10 +271,11 @@ def class_links(
         "members",
     )
     used = bucket.select(F.col("grp").alias("node")).unionByName(members.select("node")).distinct()
-    chosen = classes.join(used, "node").groupBy("node").agg(F.min("digest").alias("digest"))
-    sets = materialise(_sets(texts, chosen, words), "sets")
+    active = materialise(classes.join(used, "node").select("node", "n", "doc_id", "sketch"), "sketches")
+    sets = materialise(_sets(texts, active.select("doc_id", "node"), words), "sets")
+    sketches = active.select("node", "n", "sketch")
     inner = members.where("grp <> node").select(F.col("grp").alias("a"), F.col("node").alias("b"))
-    links = materialise(_links(inner, sets, num, den), "links")
+    links = materialise(_links(inner, sets, sketches, num, den), "links")
     # a class that links with its group's first stays in the group, any other is a group of its own
     linked = links.select(F.col("a").alias("grp"), F.col("b").alias("node"))
     grouped = materialise(
@@ -259,13 +297,14 @@ def class_links(
     live = labelled()
     for _ in range(stars):
         # the star's centre is in the component that came last, so that outliers find the others
-        last = F.max(F.struct("component", (-F.col("grp")).alias("minus"), "n")).alias("last")
+        last = F.max(F.struct("component", "grp", "n")).alias("last")
         centre = (
             live.groupBy("token")
             .agg(F.count("*").alias("many"), F.min("component").alias("least"), last)
             .where("least <> last.component")
             .select(
-                "token", "many", (-F.col("last.minus")).alias("pivot"), F.col("last.n").alias("pivot_n")
+                "token", "many", F.col("last.grp").alias("pivot"), F.col("last.n").alias("pivot_n"),
+                F.col("last.component").alias("pivot_component"),
             )
         )
         pairs_left, rows_left = centre.agg(
@@ -274,22 +313,33 @@ def class_links(
         if not pairs_left or pairs_left <= 3 * rows_left:
             break  # nothing is left, or hardly more pairs than a star has
         around = live.join(centre.drop("many"), "token").where("grp <> pivot")
-        pairs = around.where(fits & (F.col("component") != F.col("pivot"))).select(
+        pairs = around.where(fits & (F.col("component") != F.col("pivot_component"))).select(
             F.least("grp", "pivot").alias("a"), F.greatest("grp", "pivot").alias("b")
         )
-        found = _verified(materialise(pairs.distinct(), "pairs"), grouped, sets, num, den)
+        found = _verified(materialise(pairs.distinct(), "pairs"), grouped, sets, sketches, num, den)
         links = materialise(links.unionByName(found), "links")
         bucket = materialise(around.select("token", "grp", "n"), "buckets")
         live = labelled()
-    left = live.select("token", F.col("grp").alias("a"), F.col("n").alias("pivot_n"), F.col("component").alias("c"))
-    right = live.select("token", F.col("grp").alias("b"), "n", "component")
+    # groups of several classes are expanded, so that the sketches are those of the classes themselves
+    spread = live.join(grouped.select("grp", "node"), "grp", "left").select(
+        "token", F.coalesce("node", "grp").alias("node"), "n", "component"
+    )
+    sketched = materialise(spread.join(sketches.drop("n"), "node"), "sketched")
+    left = sketched.select(
+        "token", F.col("node").alias("a"), F.col("n").alias("pivot_n"), F.col("component").alias("c"),
+        F.col("sketch").alias("sketch_a"),
+    )
+    right = sketched.select("token", F.col("node").alias("b"), "n", "component", F.col("sketch").alias("sketch_b"))
     pairs = (
-        left.join(right, "token")
-        .where((F.col("a") < F.col("b")) & (F.col("c") != F.col("component")) & fits)
+        left.join(
+            right,
+            (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("component")) & fits
+            & _may_link(num, den, "sketch_a", "sketch_b", "n", "pivot_n"),
+        )
         .select("a", "b")
         .distinct()
     )
-    found = _verified(materialise(pairs, "pairs"), grouped, sets, num, den)
+    found = _links(materialise(pairs, "pairs"), sets, sketches, num, den)
     return rows, materialise(links.unionByName(found), "links")
 
 
@@ -300,17 +350,19 @@ def near_duplicates(
     """One row per document: doc_id, n_shingles, component_id."""
     rows, links = class_links(id_text(docs, id_col, text_col), words, num, den)
     found = materialise(connected(links), "components")
-    node = (
+    classes = (
         rows.where("n > 0 and doc_id is not null")
-        .groupBy("digest", "n")
-        .agg(F.min("doc_id").alias("node"))
+        .groupBy(F.col("digest").alias("node"))
+        .agg(F.min("doc_id").alias("least"))
         .join(found, "node", "left")
-        .select("digest", "n", F.coalesce("component", "node").alias("component"))
+        .select("node", "least", F.coalesce("component", "node").alias("component"))
     )
-    return rows.select("doc_id", "n", "digest").join(node, ["digest", "n"], "left").select(
+    labels = classes.groupBy("component").agg(F.min("least").alias("smallest"))
+    label = materialise(classes.join(labels, "component").select(F.col("node").alias("digest"), "smallest"), "labels")
+    return rows.select("doc_id", "n", "digest").join(label, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id"))
-        .when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
+        .when(F.col("doc_id").isNotNull(), F.col("smallest")).alias("component_id"),
     )
 
 

@@ -43,6 +43,8 @@ from aerocal.llm.common import fresh, id_text, named, utf8
 from aerocal.llm.components import connected
 from aerocal.session import materialise
 
+#: Up to this many ids are broadcast to find the texts of classes in doubt.
+BROADCAST_IDS = 200_000
 #: Longs of a parity sketch.
 SKETCH = 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -201,8 +203,12 @@ def _sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return wanted.mapInArrow(build, "node binary, items array<long>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; sketches sort out most of the others."""
+def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; sketches sort out most of the others.
+
+    Sets are built from the texts of the classes that are left, whose ids are broadcast up to
+    ``BROADCAST_IDS`` of them, so texts that no pair needs stay where they are.
+    """
     left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     pairs = materialise(
@@ -210,6 +216,14 @@ def _links(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, num: int, den
         .where(_may_link(num, den, "sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b"),
         "likely",
     )
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return pairs
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+        sketches.select("node", "doc_id"), "node"
+    )
+    nodes = F.broadcast(nodes) if 2 * n_pairs <= BROADCAST_IDS else nodes
+    sets = materialise(_sets(texts, nodes, words), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
@@ -222,10 +236,10 @@ def _links(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, num: int, den
 
 
 def _verified(
-    pairs: DataFrame, grouped: DataFrame, sets: DataFrame, sketches: DataFrame, num: int, den: int
+    pairs: DataFrame, grouped: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, num: int, den: int
 ) -> DataFrame:
     """Links between the groups of ``pairs``: first groups as such, then the classes in the others."""
-    first = materialise(_links(pairs, sets, sketches, num, den), "links")
+    first = materialise(_links(pairs, texts, sketches, words, num, den), "links")
     if grouped.isEmpty():
         return first
     left = grouped.select(F.col("grp").alias("a"), F.col("node").alias("node_a"))
@@ -237,7 +251,7 @@ def _verified(
         .where((F.col("a") != F.col("node_a")) | (F.col("b") != F.col("node_b")))
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     )
-    return materialise(first.unionByName(_links(rest, sets, sketches, num, den)), "links")
+    return materialise(first.unionByName(_links(rest, texts, sketches, words, num, den)), "links")
 
 
 def class_links(
@@ -271,11 +285,9 @@ def class_links(
         "members",
     )
     used = bucket.select(F.col("grp").alias("node")).unionByName(members.select("node")).distinct()
-    active = materialise(classes.join(used, "node").select("node", "n", "doc_id", "sketch"), "sketches")
-    sets = materialise(_sets(texts, active.select("doc_id", "node"), words), "sets")
-    sketches = active.select("node", "n", "sketch")
+    sketches = materialise(classes.join(used, "node").select("node", "n", "doc_id", "sketch"), "sketches")
     inner = members.where("grp <> node").select(F.col("grp").alias("a"), F.col("node").alias("b"))
-    links = materialise(_links(inner, sets, sketches, num, den), "links")
+    links = materialise(_links(inner, texts, sketches, words, num, den), "links")
     # a class that links with its group's first stays in the group, any other is a group of its own
     linked = links.select(F.col("a").alias("grp"), F.col("b").alias("node"))
     grouped = materialise(
@@ -316,7 +328,7 @@ def class_links(
         pairs = around.where(fits & (F.col("component") != F.col("pivot_component"))).select(
             F.least("grp", "pivot").alias("a"), F.greatest("grp", "pivot").alias("b")
         )
-        found = _verified(materialise(pairs.distinct(), "pairs"), grouped, sets, sketches, num, den)
+        found = _verified(materialise(pairs.distinct(), "pairs"), grouped, texts, sketches, words, num, den)
         links = materialise(links.unionByName(found), "links")
         bucket = materialise(around.select("token", "grp", "n"), "buckets")
         live = labelled()
@@ -324,7 +336,7 @@ def class_links(
     spread = live.join(grouped.select("grp", "node"), "grp", "left").select(
         "token", F.coalesce("node", "grp").alias("node"), "n", "component"
     )
-    sketched = materialise(spread.join(sketches.drop("n"), "node"), "sketched")
+    sketched = materialise(spread.join(sketches.select("node", "sketch"), "node"), "sketched")
     left = sketched.select(
         "token", F.col("node").alias("a"), F.col("n").alias("pivot_n"), F.col("component").alias("c"),
         F.col("sketch").alias("sketch_a"),
@@ -339,7 +351,7 @@ def class_links(
         .select("a", "b")
         .distinct()
     )
-    found = _links(materialise(pairs, "pairs"), sets, sketches, num, den)
+    found = _links(materialise(pairs, "pairs"), texts, sketches, words, num, den)
     return rows, materialise(links.unionByName(found), "links")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def fresh_name(name: str) -> str:
+    """A table name never used before, as runs may share a catalog."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def readings(spark: SparkSession, sf: str) -> DataFrame:
     """Raw readings: event_id, ts, sensor_id, variable, value, k."""
     return table(spark, sf, "events").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerocal.catalog.frames import BASELINE_SQL, SPEC, SPLIT_SQL, daily, fused
+from aerocal.catalog.frames import BASELINE_SQL, SPEC, SPLIT_SQL, daily, fresh_name, fused
 from aerocal.catalog.registry import label, ls, query, r, rs
 from aerocal.catalog.statistics import fitted_baseline
 from aerocal.config import Candidate, ForestParams, KernelParams, RidgeParams, SplitSpec, default_ridge_grid, ridge_candidates
@@ -32,6 +32,7 @@ from aerocal.plans.residual import (
     with_rolling,
 )
 from aerocal.session import materialise
+from aerocal.sinks import write_bucketed
 
 _FEATURES = ("fo3", "ft", "fh")
 _ORDER = ("ts", "sensor_id")
@@ -373,3 +374,17 @@ def full_period_baseline(spark, sf):
     """The compensated baseline over all rows with any feature, train medians, per sensor and month."""
     _, params = fitted_baseline(spark, sf)
     return _by_month(apply_compensated_baseline(fused(spark, sf), SPEC, params, "O3_baseline_cal"))
+
+
+@query(
+    f"""WITH {BASELINE_SQL}
+SELECT sensor_id, month(ts) AS month, count(*) AS n_rows, count(v) AS n_scored, {rs("avg(v)", 4)} AS mean_cal,
+  {rs("min(v)", 4)} AS low_cal, {rs("max(v)", 4)} AS high_cal
+FROM (SELECT f.sensor_id, f.ts, CASE WHEN coalesce(f.o3, f.t, f.h) IS NOT NULL THEN alpha + beta * (coalesce(f.o3, mo3) / 1.451e0 + 0.1034e0 * pow(coalesce(f.t, mt), 2) - 2.225e0 * coalesce(f.t, mt) + 0.01223e0 * pow(coalesce(f.h, mh), 2) - 1.984e0 * coalesce(f.h, mh) + 79) END AS v
+      FROM fused f, med, line) GROUP BY 1, 2"""
+)
+def calibrated_table_roundtrip(spark, sf):
+    """The calibrated table written bucketed by sensor and time, read back and summed up."""
+    _, params = fitted_baseline(spark, sf)
+    out = apply_compensated_baseline(fused(spark, sf), SPEC, params, "O3_baseline_cal")
+    return _by_month(write_bucketed(out, fresh_name("calibrated"), ["sensor_id", "ts"], 8))

@@ -13,6 +13,7 @@ from aerocal.catalog.frames import (
     TYPES,
     WIDE_SQL,
     daily,
+    fresh_name,
     grid,
     hourly,
     readings,
@@ -46,6 +47,7 @@ from aerocal.operators.models import labelled_splits
 from aerocal.operators.orderstat import exact_medians
 from aerocal.operators.quality import coverage_by, coverage_total, optional_column, require_columns
 from aerocal.operators.timeaxis import numbered, resample
+from aerocal.sinks import write_bucketed
 
 _ROUNDED = ", ".join(f"{rs(t)} AS {t}" for t in TYPES)
 
@@ -80,6 +82,23 @@ def left_fuse(spark, sf):
     return out.select("sensor_id", label("ts").alias("ts"), r("value").alias("value"), r("ref").alias("ref"))
 
 
+@query(
+    f"""WITH {HOURLY_SQL},
+sensor AS (
+  SELECT sensor_id, date_trunc('hour', ts) AS ts, avg(value) AS value FROM readings GROUP BY 1, 2
+)
+SELECT s.sensor_id, {ls("s.ts")} AS ts, {rs("s.value")} AS value, {rs("h.value")} AS ref
+FROM sensor s LEFT JOIN hourly h ON h.ts = s.ts AND h.variable = 'view'"""
+)
+def fused_table_roundtrip(spark, sf):
+    """Sensor and reference tables written bucketed by time, joined without a shuffle, written and read again."""
+    sensor = resample(readings(spark, sf), ["sensor_id"], values=["value"], fill_gaps=False)
+    reference = hourly(spark, sf).where("variable = 'view'").select("ts", F.col("value").alias("ref"))
+    left, right = (write_bucketed(t, fresh_name(n), ["ts"], 8) for n, t in (("sensor", sensor), ("reference", reference)))
+    out = write_bucketed(fuse(left, right, ["ts"]), fresh_name("fused"), ["sensor_id", "ts"], 8)
+    return out.select("sensor_id", label("ts").alias("ts"), r("value").alias("value"), r("ref").alias("ref"))
+
+
 @query(
     f"""WITH {GRID_SQL},
 a AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM grid WHERE variable = 'click'),

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerocal.operators.timeaxis import numbered
 
@@ -14,10 +15,38 @@ from aerocal.operators.timeaxis import numbered
 def outer_join_variables(tables: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     """Full outer join of several tables on the same keys.
 
-    All joins hash on the same keys, so after the first one only the new table is
-    shuffled. A key that repeats in a table multiplies, as joins do.
+    The tables are stacked and grouped by key, so one shuffle serves any number of them. A key that
+    repeats in a table multiplies, as joins do; its rows meet in one group, as they do in a join. Rows
+    with a null key match nothing and stay alone. Columns besides the keys must differ.
     """
-    return reduce(lambda a, b: a.join(b, list(on), "full"), tables)
+    on = list(on)
+    rests = [[c for c in t.columns if c not in on] for t in tables]
+    names = [c for rest in rests for c in rest]
+    if len(set(names)) < len(names):
+        raise ValueError(f"tables share columns besides {on}: {names}")
+    kinds = [
+        T.StructType([f for f in t.schema.fields if f.name in rest]).simpleString() for t, rest in zip(tables, rests)
+    ]
+    stacked = reduce(
+        DataFrame.unionByName,
+        [
+            t.select(
+                *on,
+                *[
+                    (F.struct(*rest) if i == j else F.lit(None).cast(kind)).alias(f"_t{j}")
+                    for j, (rest, kind) in enumerate(zip(rests, kinds))
+                ],
+            )
+            for i, (t, rest) in enumerate(zip(tables, rests))
+        ],
+    )
+    complete = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in on])
+    lists = stacked.where(complete).groupBy(*on).agg(*[F.collect_list(f"_t{j}").alias(f"_t{j}") for j in range(len(tables))])
+    for j in range(len(tables)):
+        lists = lists.withColumn(f"_t{j}", F.explode_outer(f"_t{j}"))
+    return lists.unionByName(stacked.where(~complete)).select(
+        *on, *[F.col(f"_t{j}")[c].alias(c) for j, rest in enumerate(rests) for c in rest]
+    )
 
 
 def pivot_variables(

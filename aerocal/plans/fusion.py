@@ -41,8 +41,13 @@ def fuse_sensor(
     """Hourly sensor rows with the reference values of their station and hour.
 
     Without ``station_of_sensor`` (sensor_id, station_id) the reference must hold one
-    station, and rows are matched by time alone.
+    station, and rows are matched by time alone; several stations raise, as each would repeat every
+    sensor row.
     """
+    if station_of_sensor is None:
+        stations = reference.select("station_id").distinct().limit(2).collect()
+        if len(stations) > 1:
+            raise ValueError("the reference holds several stations; give station_of_sensor")
     grid = hourly_sensor(report)
     unique = dedupe_first(
         reference, ["station_id", "ts"], [c for c in reference.columns if c not in ("station_id", "ts")]

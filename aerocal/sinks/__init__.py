@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerocal.config import MONTH_NUMBERS
+from aerocal.session import scratch_path
 
 _FORMAT = {"csv": {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}}
 
@@ -21,14 +22,31 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
 def write_monthly(
     df: DataFrame, path: str, year: int, fmt: str = "parquet", mode: str = "errorifexists"
 ) -> str:
-    """Station table partitioned by year and source-file month (``month`` column)."""
-    out = df.withColumn("year", F.lit(year))
+    """Station table partitioned by year and source-file month (``month`` column).
+
+    The year is that of the source file too: its last row, hour 24 of its last day, is the next year's
+    first instant. ``year`` stands in for rows without a time.
+    """
+    of_file = F.year(F.col("ts") - F.expr("INTERVAL 1 HOUR")) if "ts" in df.columns else F.lit(None)
+    out = df.withColumn("year", F.coalesce(of_file, F.lit(year)))
     out.write.format(fmt).options(**_FORMAT.get(fmt, {})).mode(mode).partitionBy(
         "year", "month"
     ).save(path)
     return path
 
 
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """Write a table dealt and sorted by ``keys`` and read it back.
+
+    Joins of tables with the same keys and number of buckets need no shuffle. Keys should hold the time beside
+    the station, so that a station with most rows spreads over all buckets. Without ``path`` the files
+    go to the shared folder.
+    """
+    path = path or scratch_path(df.sparkSession, name)
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def range_label(year: int, months: Sequence[str]) -> str:
     """'2025-03_07' from the first and last month name in calendar order."""
     numbers = sorted(MONTH_NUMBERS[m.lower()] for m in months)

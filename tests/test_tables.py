@@ -1,4 +1,5 @@
 import datetime as dt
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from aerocal.operators.quality import (
     require_columns,
     require_splits,
 )
+from aerocal.sinks import write_bucketed, write_monthly
 from tests.conftest import column
 
 
@@ -106,3 +108,41 @@ def test_impute_and_two_point(spark):
     holes = table(spark, [(None,), (4.0,)], "x double")
     assert sorted(r.x for r in impute(holes, ["x"], {"x": 1.5}).collect()) == [1.5, 4.0]
     assert sorted(r.x for r in impute(holes, ["x"], table(spark, [(2.5,)], "x double")).collect()) == [2.5, 4.0]
+
+
+def test_outer_join_of_many_tables_equals_joins(spark):
+    a = table(spark, [(1, "x", 1.0), (1, "x", 2.0), (2, "x", 3.0), (None, "x", 4.0)], "k int, s string, a double")
+    b = table(spark, [(1, "x", 5.0), (1, "x", 6.0), (3, "x", 7.0), (None, "x", 8.0)], "k int, s string, b double")
+    c = table(spark, [(2, "x", "p", None), (3, "y", "q", 1)], "k int, s string, c string, d int")
+    on = ["k", "s"]
+    got = outer_join_variables([a, b, c], on)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    want = a.join(b, on, "full").join(c, on, "full")
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    with pytest.raises(ValueError):
+        outer_join_variables([a, a], on)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = table(spark, [(s, t, s * t) for s in range(3) for t in range(20)], "station int, ts int, x int")
+        right = table(spark, [(s, t, s + t) for s in range(3) for t in range(5, 30)], "station int, ts int, y int")
+        keys = ["station", "ts"]
+        a, b = (write_bucketed(t, f"bucketed_{uuid.uuid4().hex}", keys, 4) for t in (left, right))
+        out = fuse(a, b, keys)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, fuse(left, right, keys).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_year_partition_is_that_of_the_source_file(spark, tmp_path):
+    rows = [(dt.datetime(2023, 12, 31, 23), "12", 1.0), (dt.datetime(2024, 1, 1, 0), "12", 2.0), (dt.datetime(2024, 1, 1, 1), "01", 3.0), (None, "01", 4.0)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, month string, x double")
+    write_monthly(df, str(tmp_path / "out"), 2024)
+    got = {(r.x, r.year, r.month) for r in spark.read.schema("x double, year int, month string").parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1.0, 2023, "12"), (2.0, 2023, "12"), (3.0, 2024, "01"), (4.0, 2024, "01")}

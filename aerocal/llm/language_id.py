@@ -20,19 +20,19 @@ rows count as often as they stand. Other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerocal.llm.common import crc_mod, named, utf8
 
 DEPTH = 4
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # letters only: no digits, fractions or number signs
 STEP = 1 << 20
 
 

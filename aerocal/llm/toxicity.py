@@ -13,7 +13,8 @@ sequences), and a text's score is the largest weight among its features, or half
 of the training texts if none is known.
 
 What is collected is bounded: 28 ** 3 trigram counts over all texts, at most ``max_labels``
-labelled rows (those with the smallest hashes), at most ``max_features`` candidate features.
+labelled rows (those with the smallest hashes), and the features that ``least`` toxic ones of these rows
+share. No feature is dropped beyond that.
 
 Defined cases: a null or empty text has no word and gets the base score. Rows without a
 label, or with a null label or id, teach nothing; if a doc_id has several labels the largest
@@ -103,7 +104,11 @@ class Restorer:
         self.held: dict[str, str] = {}
 
     def _decode(self, chars: str) -> str:
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """The cheapest reading. States hold back pointers, so time and memory grow with the length.
+
+        Equal costs go to the smallest state (at the end) or to the one found first (on the way).
+        """
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
         for char in chars:
             options: list[tuple[str, float]] = []
@@ -117,21 +122,25 @@ class Restorer:
                     options.append(("", DROP))
                 if char in " \t":
                     options.append((" ", 0.0))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in paths.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, back) in paths.items():
                 row = self.costs[a][b]
                 for letter, extra in options:
                     if not letter:
-                        state, price, longer = (a, b), cost + extra, text
+                        state, price, step = (a, b), cost + extra, back
                     else:
                         c = letter_class(letter)
-                        price, longer = cost + extra + row[c], text + letter
+                        price, step = cost + extra + row[c], (letter, back)
                         state = (b, c)
                     if state not in new or price < new[state][0]:
-                        new[state] = (price, longer)
+                        new[state] = (price, step)
             paths, before = new, char
-        ends = [(cost + self.costs[a][b][0], text) for (a, b), (cost, text) in paths.items()]
-        return min(ends)[1]
+        _, _, back = min((cost + self.costs[a][b][0], (a, b), back) for (a, b), (cost, back) in paths.items())
+        letters = []
+        while back is not None:
+            letter, back = back
+            letters.append(letter)
+        return "".join(reversed(letters))
 
     def word(self, token: str) -> str:
         """The restored form of one lower-case token without its outer punctuation."""
@@ -248,8 +257,8 @@ class ToxicityModel:
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, max_labels: int = 200_000, max_features: int = 100_000,
-    least: int = 5, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, max_labels: int = 200_000, least: int = 5,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> ToxicityModel:
     """Channel model from all texts, weights from labelled rows with crc32(id) mod 5 not 0."""
     costs = trigram_costs(docs, text_col)
@@ -287,12 +296,11 @@ def fit_toxicity(
     candidates = (
         _counts(train.where("toxic > 0"), costs, None)
         .where(F.col("n") >= least)
-        .orderBy(F.desc("n"), "feature")
-        .limit(max_features)
-        .toArrow()
+        .select("feature")
+        .toArrow()  # of at most ``max_labels`` rows, ``least`` of which share each feature
     )
     only = set(candidates.column("feature").to_pylist())
-    counted = _counts(train, costs, only).toArrow()  # at most ``max_features`` rows
+    counted = _counts(train, costs, only).toArrow()  # no more rows than ``only``
     weights = {}
     for feature, m, h in zip(*(counted.column(c).to_pylist() for c in ("feature", "n", "hits"))):
         weight = lower_bound(h, m)
@@ -305,7 +313,7 @@ def score_toxicity(
     docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its feature limit
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled rows it was fitted on
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

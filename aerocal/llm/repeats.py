@@ -311,7 +311,12 @@ def repeated_spans(texts: DataFrame, length: int = 100, counters: int = 1000, bu
     found = materialise(suffixes(own, length), "suffixes")
     digests = found.select(F.to_binary(F.lpad(F.hex("hash"), 16, "0"), F.lit("hex")).alias("digest"))
     often = frequent_digests(digests, counters).select(F.conv(F.hex("digest"), 16, -10).cast("long").alias("hash"))
-    often = materialise(often, "often")  # at most ``counters`` rows
+    # at most ``counters`` rows: candidates that an exact count confirms
+    often = materialise(
+        found.join(F.broadcast(often), "hash").groupBy("hash").count()
+        .where(F.col("count") > F.lit(found.count()) / (counters + 1)).select("hash"),
+        "often",
+    )
     same, equal = Window.partitionBy("hash"), Window.partitionBy("hash", "context")
     rest = (
         found.join(F.broadcast(often), "hash", "left_anti")

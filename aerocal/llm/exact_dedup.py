@@ -1,7 +1,8 @@
 """Exact deduplication with a heavy-hitter split.
 
 Each text is reduced to the SHA-256 of its normal form (A-Z lower-cased, nothing else) in
-one pass; texts never travel. A Misra-Gries summary of ``counters`` entries per task finds
+one pass; :func:`exact_groups` shuffles only digests, :func:`drop_copies` the rows it returns and
+the few copies that pass the scan. A Misra-Gries summary of ``counters`` entries per task finds
 every digest that holds more than rows / (counters + 1) of the rows. The candidates, at
 most ``counters`` of them, are counted exactly, and the verified winners are broadcast:
 their rows are decided where they stand. All other digests go through an ordinary shuffle

@@ -6,4 +6,4 @@ covariate); ``lineitem`` is a fused table (supplier = sensor, ship date = time).
 """
 
 from aerocal.catalog.registry import oracle_sql, queries  # noqa: F401
-from aerocal.catalog import ingest, models, series, statistics, tables  # noqa: F401
+from aerocal.catalog import ingest, models, series, statistics, tables, trees  # noqa: F401

@@ -188,6 +188,51 @@ def sensor_report_fused(spark, sf):
     return out.select(label("ts").alias("ts"), *[r(c, 8).alias(c) for c in columns])
 
 
+def write_mixed_reports(spark, sf: str) -> str:
+    """All readings as two reports with other columns in another order; some times are not day-first."""
+    rows = readings(spark, sf).select(
+        F.when(F.col("event_id") % 7 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm"))
+        .otherwise(F.date_format("ts", "dd/MM/yy HH:mm")).alias("Timestamp"),
+        F.col("value").alias("Ozone"),
+        F.col("k").alias("Relative_Humidity"),
+        (F.col("k") * 10).alias("Carbon_Monoxide"),
+        (F.col("value") / 4).alias("PM10*"),
+        F.coalesce(F.col("variable") < "m", F.lit(False)).alias("early"),
+    )
+    folder = scratch_path(spark, "reports")
+    write_table(rows.where("early").select("Timestamp", "Ozone", "Relative_Humidity", "Carbon_Monoxide"), f"{folder}/report-early", "csv")
+    late = rows.where("not early").select("`PM10*`", "Relative_Humidity", "Timestamp", "Carbon_Monoxide", "Ozone")
+    write_table(late, f"{folder}/report-late", "csv")
+    return folder
+
+
+@query(
+    f"""WITH {READINGS_SQL},
+told AS (
+  SELECT *, CASE WHEN coalesce(variable < 'm', false) THEN 'early' ELSE 'late' END AS report,
+    CASE WHEN event_id % 7 <> 0 THEN date_trunc('minute', ts) END AS parsed FROM readings
+)
+SELECT report AS sensor_id, count(*) AS n_rows, count(*) FILTER (parsed IS NULL) AS n_unparsed, {ls("min(parsed)")} AS first_ts, {ls("max(parsed)")} AS last_ts,
+  {rs("avg(value)")} AS o3, {rs("avg(k)")} AS rh, {rs("avg(k * 10)")} AS co,
+  count(CASE WHEN report = 'late' THEN value END) AS n_pm10
+FROM told GROUP BY 1"""
+)
+def sensor_reports_own_headers(spark, sf):
+    """Reports of several sensors in one read: each file by its own header, ids from the paths."""
+    sensor = F.regexp_extract("path", "report-([^/]+)/", 1)
+    rows = read_sensor_report(spark, f"{write_mixed_reports(spark, sf)}/*", sensor)
+    return rows.groupBy("sensor_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("ts").isNull()).alias("n_unparsed"),
+        label(F.min("ts")).alias("first_ts"),
+        label(F.max("ts")).alias("last_ts"),
+        r(F.avg("O3_lcs_ppb")).alias("o3"),
+        r(F.avg("RH_lcs")).alias("rh"),
+        r(F.avg("Carbon_Monoxide")).alias("co"),
+        F.count("PM10").alias("n_pm10"),
+    )
+
+
 _STUDY = f"""WITH {GRID_SQL},
 ref_rows AS (SELECT ts, value + 1 AS o3 FROM grid WHERE variable = 'view'),
 ref_n AS (SELECT *, row_number() OVER (ORDER BY ts) AS pos FROM ref_rows),

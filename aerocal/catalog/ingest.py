@@ -23,6 +23,7 @@ from aerocal.catalog.frames import (
 from aerocal.catalog.registry import label, ls, query, r, rs
 from aerocal.catalog.statistics import baseline_rows
 from aerocal.config import MONTH_NUMBERS, STATION_VARIABLES, SplitSpec
+from aerocal.functions import month_number
 from aerocal.operators.evaluate import model_metrics
 from aerocal.operators.models import fit_model, labelled_splits, predict
 from aerocal.plans.compensation import compensation_study
@@ -38,6 +39,7 @@ from aerocal.sources import (
     read_sensor_report,
     read_station_table,
 )
+from aerocal.sources.station import file_report, missing_files, read_station_files
 
 STATION = "EST"
 # Station variables and the series that play them.
@@ -79,6 +81,28 @@ def write_station_exports(spark, sf: str) -> str:
     return folder
 
 
+def write_broken_exports(spark, sf: str, folder: str) -> None:
+    """Exports of the error series beside the others, without a header and for another station."""
+    cells = grid(spark, sf).where("variable = 'error'").select(
+        F.date_format(F.col("ts") - F.expr("INTERVAL 1 HOUR"), "MM").alias("month"),
+        F.date_format("ts", "dd/MM/yy").alias("c0"),
+        F.hour("ts").cast("string").alias("c1"),
+        F.coalesce(F.col("value").cast("string"), F.lit("nr")).alias("c2"),
+    )
+    heads = cells.select("month").distinct().select(
+        "month", F.lit("Fecha").alias("c0"), F.lit("Hora").alias("c1"), F.lit("OTRA").alias("c2")
+    )
+    names = F.create_map(*[F.lit(x) for name, number in MONTH_NUMBERS.items() for x in (number, name)])
+    kinds = {"noheader": cells, "badcol": cells.unionByName(heads)}
+    rows = reduce(
+        DataFrame.unionByName,
+        [df.withColumn("export", F.concat(F.lit(f"{k}-"), names[F.col("month")], F.lit(".csv"))) for k, df in kinds.items()],
+    )
+    rows.drop("month").write.mode("append").option("encoding", "ISO-8859-1").option("emptyValue", "").partitionBy(
+        "export"
+    ).csv(folder)
+
+
 def _station(spark, sf: str):
     folder = write_station_exports(spark, sf)
     return normalise_station(spark, f"{folder}/*", STATION, None, _MONTHS)
@@ -102,6 +126,34 @@ def station_csv_ingest(spark, sf):
     return _station_rows(_station(spark, sf).combined)
 
 
+_CODES = " ".join(f"WHEN '{name}' THEN '{code}'" for code, name in _PLAYED.items())
+
+
+@query(
+    f"""WITH {GRID_SQL},
+named AS (SELECT variable, CASE variable {_CODES} END AS code, strftime(ts - INTERVAL 1 HOUR, '%m') AS month FROM grid),
+files AS (SELECT DISTINCT code, month FROM named WHERE code IS NOT NULL),
+broken AS (SELECT DISTINCT month FROM named WHERE variable = 'error'),
+expected AS (
+  SELECT code, lpad(m::VARCHAR, 2, '0') AS month
+  FROM (VALUES {", ".join(f"('{code}')" for code in _PLAYED)}) v(code), range(1, 13) r(m)
+)
+SELECT code AS variable, month, 'ok' AS status FROM files
+UNION ALL SELECT 'noheader', month, 'no_header' FROM broken
+UNION ALL SELECT 'badcol', month, 'bad_columns' FROM broken
+UNION ALL SELECT e.code, e.month, 'missing' FROM expected e LEFT JOIN files f ON f.code = e.code AND f.month = e.month
+WHERE f.code IS NULL"""
+)
+def station_file_check(spark, sf):
+    """Every export with its state: usable, without a header, without the columns, or missing."""
+    folder = write_station_exports(spark, sf)
+    write_broken_exports(spark, sf, folder)
+    raw = read_station_files(spark, f"{folder}/*")
+    number = month_number(F.col("month_name")).alias("month")
+    missing = missing_files(raw, _MONTHS, _PLAYED).select("variable", number, F.lit("missing").alias("status"))
+    return file_report(raw, STATION).select("variable", number, "status").unionByName(missing)
+
+
 @query(
     f"""{_HOURS} SELECT year(ts - INTERVAL 1 HOUR)::BIGINT AS year_of_file, strftime(ts - INTERVAL 1 HOUR, '%m') AS month,
   count(*) AS n_rows, count(view) AS n_o3, {ls("min(ts)")} AS first_ts, {ls("max(ts)")} AS last_ts

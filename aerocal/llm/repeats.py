@@ -320,6 +320,7 @@ def repeated_spans(texts: DataFrame, length: int = 100, counters: int = 1000, bu
     same, equal = Window.partitionBy("hash"), Window.partitionBy("hash", "context")
     rest = (
         found.join(F.broadcast(often), "hash", "left_anti")
+        .repartition(F.col("hash"))  # here, so that the place beside its own columns does not travel
         .withColumn("at", F.min(place).over(equal))
         .withColumn("several", F.min("context").over(same) != F.max("context").over(same))
     )

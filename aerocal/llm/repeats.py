@@ -9,8 +9,8 @@ suffixes are handled. The steps:
    side), document and place. Of documents that are equal as a whole only the first is looked at.
 2. Suffixes with equal contexts are one class, known by its first place. All others of a class
    repeat the first over the whole context. One shuffle by hash finds classes and their first places.
-   Hashes that hold over rows / (counters + 1) suffixes are found by Misra-Gries summaries, at
-   most ``counters`` of them are broadcast; their classes are combined map-side instead.
+   Hashes that hold over rows / (counters + 1) suffixes are found by Misra-Gries summaries and an exact
+   count, at most ``counters`` of them; their classes are combined map-side instead.
 3. Where a hash has several classes, each class fetches the bytes of its first place. All other
    suffixes are done.
 4. Classes of one hash are sorted by the bytes that follow: an enhanced suffix array. A stack scan
@@ -311,20 +311,20 @@ def repeated_spans(texts: DataFrame, length: int = 100, counters: int = 1000, bu
     found = materialise(suffixes(own, length), "suffixes")
     digests = found.select(F.to_binary(F.lpad(F.hex("hash"), 16, "0"), F.lit("hex")).alias("digest"))
     often = frequent_digests(digests, counters).select(F.conv(F.hex("digest"), 16, -10).cast("long").alias("hash"))
-    # at most ``counters`` rows: candidates that an exact count confirms
-    often = materialise(
-        found.join(F.broadcast(often), "hash").groupBy("hash").count()
-        .where(F.col("count") > F.lit(found.count()) / (counters + 1)).select("hash"),
-        "often",
+    likely = [r.hash for r in often.collect()]  # at most ``counters`` numbers, confirmed by an exact count
+    counts = found.where(F.col("hash").isin(likely)).groupBy("hash").count()
+    hashes = frozenset(
+        r.hash for r in counts.where(F.col("count") > F.lit(found.count()) / (counters + 1)).collect()
     )
+    is_often = F.col("hash").isin(*hashes) if hashes else F.lit(False)
     same, equal = Window.partitionBy("hash"), Window.partitionBy("hash", "context")
     rest = (
-        found.join(F.broadcast(often), "hash", "left_anti")
+        found.where(~is_often)
         .repartition(F.col("hash"))  # here, so that the place beside its own columns does not travel
         .withColumn("at", F.min(place).over(equal))
         .withColumn("several", F.min("context").over(same) != F.max("context").over(same))
     )
-    hot = found.join(F.broadcast(often), "hash", "left_semi")
+    hot = found.where(is_often)
     heads = materialise(hot.groupBy("hash", "context").agg(F.min(place).alias("at")), "heads")
     told = materialise(
         rest.unionByName(hot.join(heads, ["hash", "context"]).withColumn("several", F.lit(True)))
@@ -342,9 +342,8 @@ def repeated_spans(texts: DataFrame, length: int = 100, counters: int = 1000, bu
         .agg(F.collect_set(F.struct("place", "hash")).alias("wanted"))
         .select(F.col("doc_id").alias("first_doc"), F.col("text_key").alias("first_key"), "wanted")
     )
-    hashes = frozenset(r.hash for r in often.collect())  # at most ``counters`` numbers
     # a very frequent hash is spread: its windows are dealt out one by one
-    spread = F.when(F.col("hash").isin(*hashes), F.xxhash64("doc_id", "place")) if hashes else F.lit(None)
+    spread = F.when(is_often, F.xxhash64("doc_id", "place"))
     covers = materialise(
         own.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key")))
         .dropDuplicates(["doc_id", "text_key"])

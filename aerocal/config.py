@@ -108,15 +108,15 @@ class RidgeParams:
 
 @dataclass(frozen=True)
 class KernelParams:
-    """RBF regression: penalty ``c``, number of cosine features, width (None: 1/p)."""
+    """RBF regression: penalty ``c``, landmarks (a bounded sample of train rows), width (None: 1/p),
+    half-width of the band without loss, steps and the relative gain at which they end."""
 
     c: float = 1.0
-    components: int = 128
+    landmarks: int = 64
     gamma: float | None = None
-    epsilon: float = 1.35
-    max_iter: int = 100
+    epsilon: float = 0.1
+    max_iter: int = 25
     tolerance: float = 1e-4
-    seed: int = 42
 
 
 @dataclass(frozen=True)

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +22,7 @@ from aerocal.config import (
 )
 from aerocal.functions import masked, split_label
 from aerocal.operators.gram import LinearSetting, fold_errors
+from aerocal.operators.kernel import KernelFit, KernelRegression, fit_kernels, fold_error, landmark_inputs
 from aerocal.operators.orderstat import exact_medians
 
 FEATURES = "_features"
@@ -61,40 +55,6 @@ def _prep_stage(
     return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__")
 
 
-class CosineFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Random cosine features whose inner products approximate an RBF kernel.
-
-    The projection is drawn from ``seed``, so tasks and reloaded models rebuild the
-    same one; its size is fixed by ``components`` and does not grow with the data.
-    """
-
-    inputCols = Param(Params._dummy(), "inputCols", "inputs", TypeConverters.toListString)
-    outputCol = Param(Params._dummy(), "outputCol", "output vector", TypeConverters.toString)
-    components = Param(Params._dummy(), "components", "feature count", TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-    seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCols=None, outputCol=None, components=None, gamma=None, seed=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        cols = self.getOrDefault(self.inputCols)
-        d, gamma = self.getOrDefault(self.components), self.getOrDefault(self.gamma)
-        rng = np.random.default_rng(self.getOrDefault(self.seed))
-        weights = rng.normal(0.0, math.sqrt(2.0 * gamma), (len(cols), d))
-        phases = rng.uniform(0.0, 2.0 * math.pi, d)
-
-        @F.pandas_udf("array<double>")
-        def project(x: pd.DataFrame) -> pd.Series:
-            z = math.sqrt(2.0 / d) * np.cos(x.to_numpy(dtype=float) @ weights + phases)
-            return pd.Series(list(z))
-
-        out = array_to_vector(project(F.struct(*cols)))
-        return df.withColumn(self.getOrDefault(self.outputCol), out)
-
-
 @dataclass(frozen=True)
 class Preparation:
     """What a fit needs to know of its train rows, taken from those rows only."""
@@ -139,23 +99,12 @@ class Preparation:
         """Transformers from raw columns to the feature vector.
 
         Plain models and forests impute medians; ridge also divides by the deviation
-        without centring; the kernel model standardises and expands.
+        without centring.
         """
         features = [c for c in features if c in self.medians]
         if not features:
             raise ValueError("no feature has a value in the training rows")
         inputs = [f"_x_{i}" for i in range(len(features))]
-        if isinstance(params, KernelParams):
-            # The inputs have unit variance, so the data-scaled width is 1 / p.
-            gamma = params.gamma if params.gamma is not None else 1.0 / len(features)
-            expand = CosineFeatures(
-                inputCols=inputs,
-                outputCol=FEATURES,
-                components=params.components,
-                gamma=gamma,
-                seed=params.seed,
-            )
-            return [_prep_stage(features, self.medians, self.means, self.scales), expand]
         scale = self.scales if isinstance(params, RidgeParams) else None
         prep = _prep_stage(features, self.medians, scale=scale)
         return [prep, VectorAssembler(inputCols=inputs, outputCol=FEATURES)]
@@ -171,8 +120,8 @@ def _needs_scale(params: ModelParams) -> bool:
 def estimator(params: ModelParams, label: str, n: int, label_std: float):
     """MLlib estimator for a settings object; ``None`` is ordinary least squares.
 
-    ``n`` and the label's population deviation turn the penalties of the sum-form
-    objectives (ridge alpha, kernel C) into MLlib's mean-form ``regParam``.
+    ``n`` and the label's population deviation turn the ridge penalty of the sum-form
+    objective into MLlib's mean-form ``regParam``.
     """
     common = {"featuresCol": FEATURES, "labelCol": label, "predictionCol": PREDICTION}
     if params is None:
@@ -185,16 +134,6 @@ def estimator(params: ModelParams, label: str, n: int, label_std: float):
             regParam=params.alpha * label_std / n,
             **common,
         )
-    if isinstance(params, KernelParams):
-        return LinearRegression(
-            loss="huber",
-            epsilon=params.epsilon,
-            standardization=False,
-            regParam=1.0 / (params.c * n),
-            maxIter=params.max_iter,
-            tol=params.tolerance,
-            **common,
-        )
     subset = params.max_features
     return RandomForestRegressor(
         numTrees=params.trees,
@@ -213,10 +152,21 @@ def fit_model(
     features: Sequence[str],
     label: str,
     params: ModelParams = None,
+    keys: Sequence[str] = (),
 ) -> PipelineModel:
-    """Fit imputation, scaling and estimator on ``train``; rows without label are left out."""
+    """Fit imputation, scaling and estimator on ``train``; rows without label are left out.
+
+    ``keys`` identify a row; the landmarks of a kernel model are drawn by them.
+    """
     train = train.where(F.col(label).isNotNull())
     prep = Preparation.fit(train, features, label, _needs_scale(params))
+    if isinstance(params, KernelParams):
+        fit = KernelFit(landmark_inputs(train, features, prep, params, keys), params)
+        fit_kernels(train, [fit], label)
+        names = fit.inputs.features
+        ready = _prep_stage(names, prep.medians, prep.means, prep.scales)
+        last = KernelRegression.of(fit, [f"_x_{i}" for i in range(len(names))], PREDICTION)
+        return PipelineModel(stages=[ready, last])
     slim = train.select(*features, F.col(label).cast("double").alias(label))
     last = estimator(params, label, prep.n, prep.label_std)
     return Pipeline(stages=[*prep.stages(features, params), last]).fit(slim)
@@ -251,11 +201,13 @@ def search(
     block: str = "block",
     n_splits: int = 4,
     parallelism: int = 4,
+    keys: Sequence[str] = (),
 ) -> list[dict]:
     """Mean absolute error of every setting of every candidate over expanding folds.
 
     ``df`` carries the fold block of each row. Ridge settings are all solved from sums over
-    the blocks (:func:`aerocal.operators.gram.fold_errors`). For the others, medians and scales are
+    the blocks (:func:`aerocal.operators.gram.fold_errors`). Kernel settings of all folds are fitted side
+    by side, their landmarks drawn by ``keys``. For the others, medians and scales are
     fitted inside each fold, once for all candidates; candidates with the same inputs share one
     cached feature frame. Independent fits are submitted from a few threads, as
     MLlib's own validators do, so that the cluster is not idle between jobs.
@@ -277,12 +229,14 @@ def search(
         found = fold_errors(df, label, settings, block, n_splits).orderBy("fold").collect()
         for row in found:
             linear[row["setting"]]["fold_mae"].append(row["mae"])
-    fitted = [row for row in table if row not in linear]
+    kernel = [row for row in table if isinstance(row["params"], KernelParams)]
+    if kernel:
+        _score_kernels(df, kernel, label, block, n_splits, keys)
+    fitted = [row for row in table if row not in linear and row not in kernel]
     used = list(dict.fromkeys(c for row in fitted for c in row["features"]))
-    scaled = any(_needs_scale(row["params"]) for row in fitted)
     for k in range(n_splits if fitted else 0):
         train, test = df.where(F.col(block) <= k), df.where(F.col(block) == k + 1)
-        prep = Preparation.fit(train, used, label, scaled)
+        prep = Preparation.fit(train, used, label)
         ready: dict[tuple, list[DataFrame]] = {}
         for row in fitted:
             key = _inputs_key(row)
@@ -309,11 +263,29 @@ def search(
     return table
 
 
+def _score_kernels(
+    df: DataFrame, table: Sequence[dict], label: str, block: str, n_splits: int, keys: Sequence[str]
+) -> None:
+    """Fit every kernel setting of every fold in shared passes, and add the errors to ``table``."""
+    fits: list[tuple[dict, KernelFit]] = []
+    used = list(dict.fromkeys(c for row in table for c in row["features"]))
+    for k in range(n_splits):
+        train = df.where(F.col(block) <= k)
+        prep, ready = Preparation.fit(train, used, label, scaled=True), {}
+        for row in table:
+            p = row["params"]
+            key = (tuple(row["features"]), p.landmarks, p.gamma)
+            if key not in ready:
+                ready[key] = landmark_inputs(train, row["features"], prep, p, keys, last=k)
+            fits.append((row, KernelFit(ready[key], p)))
+    only = [f for _, f in fits]
+    fit_kernels(df, only, label, block)
+    for (row, _), mae in zip(fits, fold_error(df, only, label, block), strict=True):
+        row["fold_mae"].append(mae)
+
+
 def _inputs_key(row: dict) -> tuple:
-    params, cols = row["params"], tuple(row["features"])
-    if isinstance(params, KernelParams):
-        return (*cols, "kernel", params.components, params.gamma, params.seed)
-    return (*cols, "scaled" if isinstance(params, RidgeParams) else "plain")
+    return tuple(row["features"])
 
 
 def best_of(table: Sequence[dict]) -> dict:

@@ -199,11 +199,12 @@ def compare_residuals(
         [kernel],
         n_splits=n_splits,
         parallelism=parallelism,
+        keys=order,
     )
     best = best_of(found)
     models = [
         ResidualModel("forest", features, fit_model(train, features, RESIDUAL, forest)),
-        ResidualModel("kernel", features, fit_model(train, features, RESIDUAL, best["params"])),
+        ResidualModel("kernel", features, fit_model(train, features, RESIDUAL, best["params"], order)),
     ]
     return _study(baseline, rows, models, search_table(table.sparkSession, found))
 

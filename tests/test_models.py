@@ -108,14 +108,14 @@ def test_forest_and_kernel_learn_a_curve(spark):
     x = rng.uniform(-3, 3, 900)
     y = np.sin(x) * 10 + rng.normal(0, 0.5, 900)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    for params in (ForestParams(trees=30, max_depth=8), KernelParams(c=10.0, components=64)):
+    for params in (ForestParams(trees=30, max_depth=8), KernelParams(c=10.0, landmarks=64)):
         out = arrays(predict(fit_model(df, ["x"], "y", params), df, "p"), "y", "p")
         assert 1 - ((out[:, 0] - out[:, 1]) ** 2).sum() / ((y - y.mean()) ** 2).sum() > 0.97
 
 
 def test_saved_models_score_alike(spark, sensor, tmp_path):
     train = sensor.where(F.col("O3_ref").isNotNull())
-    for i, params in enumerate((None, ForestParams(trees=5, max_depth=4), KernelParams(components=16, max_iter=10))):
+    for i, params in enumerate((None, ForestParams(trees=5, max_depth=4), KernelParams(landmarks=16, max_iter=10))):
         model = fit_model(train, O3.features, O3.label, params)
         again = load_model(save_model(model, str(tmp_path / str(i))))
         both = arrays(predict(again, predict(model, train, "a"), "b"), "a", "b")
@@ -199,7 +199,7 @@ def test_full_scope_refits_medians(sensor):
 def test_comparison_of_forest_and_kernel(sensor):
     study = compare_residuals(
         sensor, O3, forest=ForestParams(trees=20, max_depth=6, min_leaf=5, max_bins=64),
-        kernel_grid=(KernelParams(c=1.0, components=32, max_iter=20), KernelParams(c=10.0, components=32, max_iter=20)),
+        kernel_grid=(KernelParams(c=1.0, landmarks=32, max_iter=20), KernelParams(c=10.0, landmarks=32, max_iter=20)),
     )
     mae = {(r.split, r.model): r.mae for r in study.metrics.collect()}
     assert {m for _, m in mae} == {"baseline", "forest", "kernel"}

@@ -1,19 +1,23 @@
-"""Fitted models. Exact ones carry SQL; forests and the kernel model are row checks."""
+"""Fitted models. Exact ones carry SQL; forests and the searched kernel model are row checks."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerocal.catalog.frames import BASELINE_SQL, SPEC, SPLIT_SQL, daily, fresh_name, fused
 from aerocal.catalog.registry import label, ls, query, r, rs
 from aerocal.catalog.statistics import fitted_baseline
-from aerocal.config import Candidate, ForestParams, KernelParams, RidgeParams, SplitSpec, default_ridge_grid, ridge_candidates
+from aerocal.config import Candidate, ForestParams, KernelParams, RidgeParams, SplitSpec, default_ridge_grid, ridge_candidates, target_spec
 from aerocal.functions import all_present
 from aerocal.operators.calibrate import apply_compensated_baseline
 from aerocal.operators.evaluate import model_metrics
 from aerocal.operators.folds import fold_starts, with_fold_block
+from aerocal.operators.kernel import KernelFit, fit_kernels, landmark_column, landmark_inputs
 from aerocal.operators.models import (
+    Preparation,
     best_row,
     fit_model,
     labelled_splits,
@@ -249,11 +253,128 @@ _SMALL_FOREST = ForestParams(trees=15, max_depth=6, min_leaf=5, max_bins=64)
 def rbf_residual(spark, sf):
     """Fixed forest beside the kernel model, its penalty chosen by temporal folds."""
     table = with_rolling(fused(spark, sf), SPEC)
-    grid = (KernelParams(c=1.0, components=64), KernelParams(c=10.0, components=64))
-    study = compare_residuals(table, SPEC, forest=_SMALL_FOREST, kernel_grid=grid, order=_ORDER)
+    study = compare_residuals(table, SPEC, forest=_SMALL_FOREST, order=_ORDER)
     return _metric_rows(study.metrics)
 
 
+def _marks_sql(count: int) -> str:
+    """Train rows standardised (z) and the ``count`` landmarks among them, as one row (mk)."""
+    x = [f"(f{c} - a_{c}) / s_{c} AS x{i}" for i, c in enumerate(("o3", "t", "h"))]
+    stats = [f"avg(f{c}) AS a_{c}, stddev_pop(f{c}) AS s_{c}" for c in ("o3", "t", "h")]
+    wide = [f"max(CASE WHEN j = {j} THEN x{i} END) AS z{j}_{i}" for j in range(count) for i in range(3)]
+    return f"""{SPLIT_SQL},
+tr AS (SELECT * FROM filled WHERE split = 'train'),
+st AS (SELECT {", ".join(stats)} FROM tr),
+z AS (SELECT sensor_id, ts, y, {", ".join(x)} FROM tr, st),
+marks AS (
+  SELECT row_number() OVER (ORDER BY key) - 1 AS j, x0, x1, x2
+  FROM (SELECT *, md5(CAST(sensor_id AS VARCHAR) || '|' || {ls("ts")}) AS key FROM z) ORDER BY key LIMIT {count}
+),
+mk AS (SELECT {", ".join(wide)} FROM marks)"""
+
+
+def _kernel_sql(a: Sequence[str], b: Sequence[str]) -> str:
+    far = " + ".join(f"pow({u} - {v}, 2)" for u, v in zip(a, b))
+    return f"exp(-({far}) / 3e0)"
+
+
+_KEYS = ("sensor_id", "ts")
+
+
+def _kernel_inputs(train: DataFrame, params: KernelParams):
+    prep = Preparation.fit(train, SPEC.features, SPEC.label, scaled=True)
+    return landmark_inputs(train, SPEC.features, prep, params, _KEYS)
+
+
+_LANDMARKS = 8
+_LANDMARK_ROWS = " UNION ALL ".join(
+    f"SELECT {j} AS landmark, count(*) AS n, {rs(f'avg(k{j})')} AS mean_kernel, {rs(f'stddev_pop(k{j})')} AS spread FROM kk"
+    for j in range(_LANDMARKS)
+)
+
+
+@query(
+    f"""WITH {_marks_sql(_LANDMARKS)},
+kk AS (SELECT {", ".join(_kernel_sql([f"x{i}" for i in range(3)], [f"z{j}_{i}" for i in range(3)]) + f" AS k{j}" for j in range(_LANDMARKS))}
+       FROM z, mk)
+{_LANDMARK_ROWS}"""
+)
+def kernel_features(spark, sf):
+    """How near the train rows are to each landmark of a kernel model."""
+    train = _splits(spark, sf).where("split = 'train'")
+    inputs = _kernel_inputs(train, KernelParams(landmarks=_LANDMARKS))
+    near = landmark_column(inputs, [F.col(c).cast("double") for c in inputs.features])
+    rows = train.select(F.posexplode(near).alias("landmark", "k"))
+    return rows.groupBy("landmark").agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg("k")).alias("mean_kernel"), r(F.stddev_pop("k")).alias("spread")
+    )
+
+
+_FEW = KernelParams(c=5.0, landmarks=3, max_iter=4, tolerance=0.0)
+
+
+def _objective_sql(params: KernelParams) -> str:
+    """The steps of the kernel fit as systems of four unknowns, and the objective before each."""
+    m, floor = params.landmarks, "0.001e0"
+    x = [f"x{i}" for i in range(3)]
+    marks = [[f"z{j}_{i}" for i in range(3)] for j in range(m)]
+    gram = [f"{_kernel_sql(marks[i], marks[j])} AS q{i}_{j}" for i in range(m) for j in range(m)]
+    parts = [f"""WITH {_marks_sql(m)},
+kk AS (SELECT y, 1e0 AS k{m}, {", ".join(_kernel_sql(x, marks[j]) + f" AS k{j}" for j in range(m))} FROM z, mk),
+gram AS (SELECT {", ".join(gram)} FROM mk),
+v0 AS (SELECT {", ".join(f"0e0 AS a{i}" for i in range(m + 1))})"""]
+    ks = ", ".join(f"k{j}" for j in range(m + 1))
+    size = " + ".join(f"a{i} * a{j} * q{i}_{j}" for i in range(m) for j in range(m))
+    for s in range(params.max_iter + 1):
+        guess = " + ".join(f"a{i} * k{i}" for i in range(m + 1))
+        parts.append(f"""r{s} AS (SELECT {ks}, y, y - ({guess}) AS r, greatest(abs(abs(y - ({guess})) - {params.epsilon}e0), {floor}) AS corner FROM kk, v{s}),
+w{s} AS (SELECT {ks}, y, (1 / greatest(abs(r), {floor}) + 1 / corner) / 2 AS w, {params.epsilon}e0 * sign(r) / (2 * corner) AS q FROM r{s}),
+o{s} AS (SELECT ({size}) / 2 + {params.c}e0 * loss AS objective
+  FROM v{s}, gram, (SELECT sum(greatest(abs(r) - {params.epsilon}e0, 0)) AS loss FROM r{s}))""")
+        cells = [f"sum(w * k{i} * k{j})" + (f" + max(q{i}_{j}) / {params.c}e0" if max(i, j) < m else "") + f" AS v{i}_{j}"
+                 for i in range(m + 1) for j in range(m + 1)]
+        cells += [f"sum(k{i} * (w * y - q)) AS v{i}_{m + 1}" for i in range(m + 1)]
+        parts.append(f"e{s}_0 AS (SELECT {', '.join(cells)} FROM w{s}, gram)")
+        for k in range(m + 1):
+            cells = [
+                f"v{i}_{j} / v{k}_{k} AS v{i}_{j}" if i == k else f"v{i}_{j} - v{i}_{k} * v{k}_{j} / v{k}_{k} AS v{i}_{j}"
+                for i in range(m + 1) for j in range(m + 2)
+            ]
+            parts.append(f"e{s}_{k + 1} AS (SELECT {', '.join(cells)} FROM e{s}_{k})")
+        parts.append(f"v{s + 1} AS (SELECT {', '.join(f'v{i}_{m + 1} AS a{i}' for i in range(m + 1))} FROM e{s}_{m + 1})")
+    rows = " UNION ALL ".join(
+        f"SELECT {s} AS step, {rs('now.objective / start.objective')} AS share FROM o{s} now, o0 AS start" for s in range(params.max_iter + 1)
+    )
+    return ",\n".join(parts) + "\n" + rows
+
+
+@query(_objective_sql(_FEW))
+def kernel_objective(spark, sf):
+    """The objective of a kernel fit before each of its steps, as a share of the first."""
+    train = _splits(spark, sf).where("split = 'train'")
+    fit = KernelFit(_kernel_inputs(train, _FEW), _FEW)
+    fit_kernels(train, [fit], SPEC.label)
+    shares = [(step, value / fit.objectives[0]) for step, value in enumerate(fit.objectives)]
+    return spark.createDataFrame(shares, "step int, share double").select("step", r("share").alias("share"))
+
+
+@query(
+    f"""WITH {_OLS}
+SELECT split, count(*) AS n, {rs("avg(pred)")} AS mean_baseline, {rs("sqrt(avg(pow(y - pred, 2)))")} AS rmse,
+  {rs("avg(abs(y - pred))")} AS mae
+FROM scored GROUP BY 1"""
+)
+def co_target_baseline(spark, sf):
+    """The carbon monoxide target, whose baseline is a linear model of its own features."""
+    co = target_spec("CO")
+    rename = {SPEC.features[0]: co.features[0], SPEC.label: co.label}
+    _, rows = prepare_residual(daily(spark, sf).withColumnsRenamed(rename), co)
+    return rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg("y_baseline")).alias("mean_baseline"),
+        r(F.sqrt(F.avg(F.pow("residual", F.lit(2.0))))).alias("rmse"), r(F.avg(F.abs("residual"))).alias("mae"),
+    )
+
+
 def _tuned(spark, sf):
     table = with_rolling(fused(spark, sf), SPEC)
     candidates = (

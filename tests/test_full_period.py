@@ -41,3 +41,7 @@ def _check(spark, tmp_path, name):
 
 def test_full_period_linear_has_every_row(spark, tmp_path):
     _check(spark, tmp_path, "full_period_linear")
+
+
+def test_full_period_baseline_has_every_row(spark, tmp_path):
+    _check(spark, tmp_path, "full_period_baseline")

@@ -255,13 +255,19 @@ def _group(rows: list[tuple], length: int) -> Iterator[tuple]:
 
 
 def _tree_scan(length: int, bucket: int, hot: frozenset[int]):
-    """Arrow function over classes sorted by hash: spans, or windows where a hash has too many."""
+    """Arrow function over classes sorted by hash and place: spans, or windows where a hash has too many.
+
+    A class that comes again, as its row is repeated whole, counts once.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        over, current, out = False, None, []
+        over, current, out, last = False, None, [], None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] == last:
+                    continue
+                last = row[:4]
                 if row[0] != current:
                     if len(held) > 1:
                         out.extend(_group(held, length))
@@ -346,11 +352,10 @@ def repeated_spans(texts: DataFrame, length: int = 100, counters: int = 1000, bu
     spread = F.when(is_often, F.xxhash64("doc_id", "place"))
     covers = materialise(
         own.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_key") == F.col("first_key")))
-        .dropDuplicates(["doc_id", "text_key"])
         .select("doc_id", "text_key", "text", "wanted")
         .mapInArrow(_contexts(length), "hash long, doc_id long, text_key long, place long, before binary, after binary")
         .repartition(F.col("hash"), F.coalesce(spread, F.lit(0).cast("long")))
-        .sortWithinPartitions("hash")
+        .sortWithinPartitions("hash", "doc_id", "text_key", "place")
         .mapInArrow(_tree_scan(length, bucket, hashes), COVER),
         "covers",
     )

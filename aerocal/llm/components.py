@@ -13,16 +13,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)  # two numbers
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, files: int) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its smallest node.
 
     Minima combine map-side and joins are on one node column, so a node with very many edges is a
-    skewed join key and never a group in one task. Every step is written to the shared folder.
+    skewed join key and never a group in one task. Every step is written to the shared folder, as
+    ``files`` files at most.
     """
     now = materialise(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
-        .distinct(),
+        .distinct().coalesce(files),
         "edges",
     )
     before = None
@@ -37,12 +38,13 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, F.col("u") == F.col("hub")).select(
             F.col("v").alias("high"), F.col("m").alias("low")
         )
-        large = materialise(large.distinct(), "large")
+        large = materialise(large.distinct().coalesce(files), "large")
         lowest = large.groupBy("high").agg(F.min("low").alias("m")).withColumnRenamed("high", "hub")
         hung = large.join(lowest, F.col("high") == F.col("hub")).select("low", "m")
         small = hung.where("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low"))
         now = materialise(
-            small.unionByName(lowest.select(F.col("hub").alias("high"), F.col("m").alias("low"))).distinct(),
+            small.unionByName(lowest.select(F.col("hub").alias("high"), F.col("m").alias("low")))
+            .distinct().coalesce(files),
             "edges",
         )
     roots = now.select(F.col("low").alias("node")).distinct()

@@ -8,10 +8,11 @@ den * intersection >= num * union. The steps:
    stock phrases come last. The order only steers the work: any order gives the same links.
 2. A set of n shingles must share one of its first n - ceil(num * n / den) + 1 with each partner
    (prefix filter). Equal sets are one class, and classes with equal prefix and size are one group.
-3. Groups that share a prefix shingle and fit in size are candidates. In a bucket of a shingle
-   one group is compared with all others (a star) and then leaves; buckets whose remaining
+3. Groups that share a prefix shingle and fit in size are candidates. Shingles that the same groups
+   hold give the same candidates, so one of them stands for all. In a bucket of a shingle one group is compared with all others (a star) and then leaves; buckets whose remaining
    groups are all in one component are done, for further links among them change nothing.
-   After some rounds what is left is compared in pairs, but only across components.
+   When the pairs left are no more than a few times the rows at first, when a round leaves
+   over half of them, or after ``stars`` rounds, they are compared one by one, but only across components.
 4. Candidate groups are expanded to their classes. Each set has a parity sketch: bit i is the parity of
    the number of shingles that fall on i. Two sketches differ in no more bits than their sets differ in
    shingles, so a pair with too many differing bits cannot link and goes before whole sets
@@ -23,9 +24,8 @@ between components is left out. Components come from alternating star steps.
 
 Defined cases: a null text, an empty one or one without a word has an empty set and links with
 nothing; fewer words than a shingle has are one shingle. Rows with a null doc_id link with nothing
-and have a null component. Classes are known by the digest of their set, so different texts under one
-id are each compared, and each has its own row and component. An
-empty table gives an empty result. Other columns are not read by :func:`near_duplicates` and are
+and have a null component. Classes are known by a 64-bit digest of their set, so different texts under
+one id are each compared, and each has its own row and component. An empty table gives an empty result. Other columns are not read by :func:`near_duplicates` and are
 returned unchanged by :func:`keep_one_each`.
 """
 
@@ -41,12 +41,14 @@ from pyspark.sql import functions as F
 
 from aerocal.llm.common import fresh, id_text, named, utf8
 from aerocal.llm.components import connected
-from aerocal.session import materialise
+from aerocal.session import materialise, small_batches
 
 #: Up to this many ids are broadcast to find the texts of classes in doubt.
 BROADCAST_IDS = 200_000
 #: Longs of a parity sketch.
 SKETCH = 16
+#: Rows that a task of whole texts gets, and gives, at once.
+BATCH = 1_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -54,7 +56,7 @@ class WordHashes(dict):
     """64-bit hash of a word, held in a bounded table."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -107,6 +109,11 @@ def _may_link(num: int, den: int, a: str, b: str, n_a: str, n_b: str) -> Column:
     return F.expr(f"({differ}) * {den + num}L <= ({n_a} + {n_b}) * {den - num}L")
 
 
+def digest(items: np.ndarray) -> int:
+    """64-bit digest of an array, signed."""
+    return int.from_bytes(xxhash.xxh3_64_digest(items.tobytes()), "big", signed=True)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
@@ -129,7 +136,7 @@ def frequent_words(texts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray
                 found = np.unique(word_hashes(text, held))
                 waiting.append(found)
                 docs, size = docs + 1, size + len(found)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield flush()
                     waiting, docs, size = [], 0, 0
         if waiting:
@@ -141,8 +148,9 @@ def frequent_words(texts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "word")
         .limit(limit)
-        .toArrow()  # at most ``limit`` rows
     )
+    with small_batches(texts.sparkSession, BATCH):
+        top = top.toArrow()  # at most ``limit`` rows
     values, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(values)
     return values[order], n[order]
@@ -163,19 +171,19 @@ def _signatures(texts: DataFrame, words: int, num: int, den: int, limit: int) ->
                 rank = ranks(h, words, often, counts)[place]
                 prefix = found[np.lexsort((found, rank))[: prefix_length(n, num, den)]]
                 sizes.append(n)
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                heads.append(xxhash.xxh3_128_digest(prefix.tobytes()))
+                digests.append(digest(found))
+                heads.append(digest(prefix))
                 prefixes.append(prefix)
                 sketches.append(sketch(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(heads, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()),
+                 pa.array(heads, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
                  pa.array(sketches, pa.list_(pa.int64()))],
                 ["doc_id", "n", "digest", "head", "prefix", "sketch"],
             )
 
     return texts.mapInArrow(
-        sign, "doc_id long, n long, digest binary, head binary, prefix array<long>, sketch array<long>"
+        sign, "doc_id long, n long, digest long, head long, prefix array<long>, sketch array<long>"
     )
 
 
@@ -186,8 +194,7 @@ def _sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         held = WordHashes()
         for batch in batches:
             found = [shingles(t, words, held) for t in utf8(batch.column(1))]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
-            same = [d == bytes(e) for d, e in zip(digests, batch.column(2).to_pylist())]
+            same = [digest(s) == e for s, e in zip(found, batch.column(2).to_pylist())]
             whole = pa.RecordBatch.from_arrays(
                 [batch.column(2), pa.array(found, pa.list_(pa.int64()))], ["node", "items"]
             )
@@ -200,10 +207,12 @@ def _sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         .dropDuplicates(["node", "key"])
         .select("doc_id", "text", "node")
     )
-    return wanted.mapInArrow(build, "node binary, items array<long>")
+    return wanted.mapInArrow(build, "node long, items array<long>")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _links(
+    pairs: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, num: int, den: int, files: int
+) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; sketches sort out most of the others.
 
     Sets are built from the texts of the classes that are left, whose ids are broadcast up to
@@ -213,7 +222,7 @@ def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, words: int,
     right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     pairs = materialise(
         pairs.join(left, "a").join(right, "b")
-        .where(_may_link(num, den, "sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b"),
+        .where(_may_link(num, den, "sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b").coalesce(files),
         "likely",
     )
     n_pairs = pairs.count()
@@ -223,7 +232,8 @@ def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, words: int,
         sketches.select("node", "doc_id"), "node"
     )
     nodes = F.broadcast(nodes) if 2 * n_pairs <= BROADCAST_IDS else nodes
-    sets = materialise(_sets(texts, nodes, words), "sets")
+    with small_batches(texts.sparkSession, BATCH):
+        sets = materialise(_sets(texts, nodes, words).coalesce(files), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
@@ -232,14 +242,16 @@ def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, words: int,
         .select("a", "b", both.alias("both"), (F.size("items_a") + F.size("items_b")).alias("sum"))
         .where(F.col("both") * den >= num * (F.col("sum") - F.col("both")))
         .select("a", "b")
+        .coalesce(files)
     )
 
 
 def _verified(
-    pairs: DataFrame, grouped: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, num: int, den: int
+    pairs: DataFrame, grouped: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, num: int, den: int,
+    files: int,
 ) -> DataFrame:
     """Links between the groups of ``pairs``: first groups as such, then the classes in the others."""
-    first = materialise(_links(pairs, texts, sketches, words, num, den), "links")
+    first = materialise(_links(pairs, texts, sketches, words, num, den, files), "links")
     if grouped.isEmpty():
         return first
     left = grouped.select(F.col("grp").alias("a"), F.col("node").alias("node_a"))
@@ -251,92 +263,114 @@ def _verified(
         .where((F.col("a") != F.col("node_a")) | (F.col("b") != F.col("node_b")))
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     )
-    return materialise(first.unionByName(_links(rest, texts, sketches, words, num, den)), "links")
+    return materialise(first.unionByName(_links(rest, texts, sketches, words, num, den, files)), "links")
+
+
+def file_count(rows: DataFrame) -> int:
+    """Into how many files at most the short rows about documents are written; grows with ``rows``."""
+    return max(24, rows.count() // 10_000)
 
 
 def class_links(
     texts: DataFrame, words: int, num: int, den: int, limit: int = 400_000, stars: int = 6,
 ) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and links (a, b) that connect all linked classes."""
-    rows = materialise(_signatures(texts, words, num, den, limit), "signatures")
+    signed = _signatures(texts, words, num, den, limit)
+    with small_batches(texts.sparkSession, BATCH):
+        rows = materialise(signed, "signatures")
+    # a file written costs its task more than a few thousand short rows
+    files = file_count(rows)
     named_rows = rows.where("n > 0 and doc_id is not null")
     classes = materialise(
         named_rows.groupBy(F.col("digest").alias("node"), "n", "head").agg(
             F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")
-        ),
+        ).coalesce(files),
         "classes",
     )
     groups = classes.groupBy("head", "n").agg(
         F.min(F.struct("node", "doc_id")).alias("first"), F.count("*").alias("size")
     ).select("size", F.col("first.node").alias("grp"), F.col("first.doc_id").alias("doc_id"), "head", "n")
-    heads = named_rows.select("doc_id", F.col("digest").alias("grp"), "prefix").join(
-        groups, ["grp", "doc_id"]
+    heads = (
+        named_rows.select("doc_id", F.col("digest").alias("grp"), "prefix")
+        .join(groups, ["grp", "doc_id"])
+        .dropDuplicates(["grp", "doc_id"])  # rows repeated whole
     )
     tokens = heads.select(F.explode("prefix").alias("token"), "grp", "n", "size")
+    # tokens of the same groups (told by their number and the sum of their hashes, without carries)
     shared = (
         tokens.groupBy("token")
-        .agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.max("size").alias("size"))
-        .where("x < y or size > 1")
+        .agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("grp")).alias("held"), F.max(F.col("size") > 1).alias("wide"))
+        .where("many > 1 or wide")
+        .groupBy("many", "held")
+        .agg(F.min("token").alias("token"))
         .select("token")
     )
-    bucket = materialise(tokens.drop("size").join(shared, "token").select("token", "grp", "n"), "buckets")
+    bucket = materialise(
+        tokens.select("token", "grp", "n").join(shared, "token").select("token", "grp", "n").coalesce(files), "buckets"
+    )
     members = materialise(
-        classes.join(groups.where("size > 1").select("head", "n", "grp"), ["head", "n"]).select("grp", "node"),
+        classes.join(groups.where("size > 1").select("head", "n", "grp"), ["head", "n"])
+        .select("grp", "node").coalesce(files),
         "members",
     )
     used = bucket.select(F.col("grp").alias("node")).unionByName(members.select("node")).distinct()
-    sketches = materialise(classes.join(used, "node").select("node", "n", "doc_id", "sketch"), "sketches")
+    sketches = materialise(
+        classes.join(used, "node").select("node", "n", "doc_id", "sketch").coalesce(files), "sketches"
+    )
     inner = members.where("grp <> node").select(F.col("grp").alias("a"), F.col("node").alias("b"))
-    links = materialise(_links(inner, texts, sketches, words, num, den), "links")
+    links = materialise(_links(inner, texts, sketches, words, num, den, files), "links")
     # a class that links with its group's first stays in the group, any other is a group of its own
     linked = links.select(F.col("a").alias("grp"), F.col("b").alias("node"))
     grouped = materialise(
-        linked.unionByName(linked.select("grp", F.col("grp").alias("node"))).distinct(), "members"
+        linked.unionByName(linked.select("grp", F.col("grp").alias("node"))).distinct().coalesce(files), "members"
     )
     alone = members.where("grp <> node").join(linked, ["grp", "node"], "left_anti")
+    many = grouped.groupBy("grp").agg(F.count("*").alias("size"))
     bucket = bucket.unionByName(
         bucket.join(alone, "grp").select("token", F.col("node").alias("grp"), "n")
-    ).distinct()
+    ).distinct().join(many, "grp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
 
     def labelled() -> DataFrame:
-        found = connected(links).withColumnRenamed("node", "grp")
-        both = bucket.join(found, "grp", "left")
-        return materialise(
-            both.select("token", "grp", "n", F.coalesce("component", "grp").alias("component")), "live"
-        )
+        both = bucket.join(linked_to.withColumnRenamed("node", "grp"), "grp", "left")
+        both = both.select("token", "grp", "n", "size", F.coalesce("component", "grp").alias("component"))
+        return materialise(both.coalesce(files), "live")
 
     fits = (F.col("n") * num <= F.col("pivot_n") * den) & (F.col("pivot_n") * num <= F.col("n") * den)
+    linked_to = materialise(connected(links, files).coalesce(files), "components")
     live = labelled()
+    rows_first = live.agg(F.sum("size")).first()[0] or 0
+    before = None
     for _ in range(stars):
         # the star's centre is in the component that came last, so that outliers find the others
         last = F.max(F.struct("component", "grp", "n")).alias("last")
         centre = (
             live.groupBy("token")
-            .agg(F.count("*").alias("many"), F.min("component").alias("least"), last)
+            .agg(F.sum("size").alias("many"), F.min("component").alias("least"), last)
             .where("least <> last.component")
             .select(
                 "token", "many", F.col("last.grp").alias("pivot"), F.col("last.n").alias("pivot_n"),
                 F.col("last.component").alias("pivot_component"),
             )
         )
-        pairs_left, rows_left = centre.agg(
-            F.sum(F.col("many") * (F.col("many") - 1) / 2), F.sum("many")
-        ).first()
-        if not pairs_left or pairs_left <= 3 * rows_left:
-            break  # nothing is left, or hardly more pairs than a star has
+        pairs_left = centre.agg(F.sum(F.col("many") * (F.col("many") - 1) / 2)).first()[0]
+        if not pairs_left or pairs_left <= 3 * rows_first or before and 2 * pairs_left > before:
+            break  # nothing is left, or a few pairs for each row of the buckets, or stars hardly help
+        before = pairs_left
         around = live.join(centre.drop("many"), "token").where("grp <> pivot")
         pairs = around.where(fits & (F.col("component") != F.col("pivot_component"))).select(
             F.least("grp", "pivot").alias("a"), F.greatest("grp", "pivot").alias("b")
         )
-        found = _verified(materialise(pairs.distinct(), "pairs"), grouped, texts, sketches, words, num, den)
-        links = materialise(links.unionByName(found), "links")
-        bucket = materialise(around.select("token", "grp", "n"), "buckets")
+        found = _verified(materialise(pairs.distinct().coalesce(files), "pairs"), grouped, texts, sketches, words, num, den, files)
+        # what was linked so far goes on as one link of each class to its component
+        links = linked_to.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        linked_to = materialise(connected(links, files).coalesce(files), "components")
+        bucket = materialise(around.select("token", "grp", "n", "size").coalesce(files), "buckets")
         live = labelled()
     # groups of several classes are expanded, so that the sketches are those of the classes themselves
     spread = live.join(grouped.select("grp", "node"), "grp", "left").select(
         "token", F.coalesce("node", "grp").alias("node"), "n", "component"
     )
-    sketched = materialise(spread.join(sketches.select("node", "sketch"), "node"), "sketched")
+    sketched = materialise(spread.join(sketches.select("node", "sketch"), "node").coalesce(files), "sketched")
     left = sketched.select(
         "token", F.col("node").alias("a"), F.col("n").alias("pivot_n"), F.col("component").alias("c"),
         F.col("sketch").alias("sketch_a"),
@@ -350,9 +384,11 @@ def class_links(
         )
         .select("a", "b")
         .distinct()
+        .coalesce(files)
     )
-    found = _links(materialise(pairs, "pairs"), texts, sketches, words, num, den)
-    return rows, materialise(links.unionByName(found), "links")
+    found = _links(materialise(pairs, "pairs"), texts, sketches, words, num, den, files)
+    links = linked_to.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+    return rows, materialise(links.coalesce(files), "links")
 
 
 def near_duplicates(
@@ -361,7 +397,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     rows, links = class_links(id_text(docs, id_col, text_col), words, num, den)
-    found = materialise(connected(links), "components")
+    files = file_count(rows)
+    found = materialise(connected(links, files).coalesce(files), "components")
     classes = (
         rows.where("n > 0 and doc_id is not null")
         .groupBy(F.col("digest").alias("node"))
@@ -370,7 +407,9 @@ def near_duplicates(
         .select("node", "least", F.coalesce("component", "node").alias("component"))
     )
     labels = classes.groupBy("component").agg(F.min("least").alias("smallest"))
-    label = materialise(classes.join(labels, "component").select(F.col("node").alias("digest"), "smallest"), "labels")
+    label = materialise(
+        classes.join(labels, "component").select(F.col("node").alias("digest"), "smallest").coalesce(files), "labels"
+    )
     return rows.select("doc_id", "n", "digest").join(label, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id"))

@@ -1,10 +1,12 @@
 """Near duplicates: one id with several texts, sketches, and large groups without links."""
 
+import os
 import random
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from aerocal.llm.jaccard_join import SKETCH, near_duplicates, sketch
 
@@ -60,3 +62,33 @@ def test_sketches_never_differ_more_than_their_sets(seed, common, own):
     assert len(sketch(a)) == SKETCH
     assert differ <= 2 * own
     assert differ % 2 == 0
+
+
+def test_digests_are_numbers_and_rounds_stay_within_files(spark):
+    """Tokens of the same groups are held once, and no step writes more files than its rows call for."""
+    rng = random.Random(4)
+    base = [[f"t{k}-{i}" for i in range(60)] for k in range(40)]
+    rows = []
+    for i in range(400):
+        copy = list(base[i % 40])
+        copy[0 if i % 3 else -1] = f"own{i}"
+        rows.append((i, " ".join(copy)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    old = set(os.listdir(folder))
+    try:
+        got = {r.doc_id: r.component_id for r in near_duplicates(df, 3, 90, 100).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: i % 40 for i in range(400)}
+    written = [f"{folder}/{d}" for d in sorted(set(os.listdir(folder)) - old)]
+    signatures = next(d for d in written if "/signatures-" in d)
+    rows = spark.read.parquet(signatures)
+    assert dict(rows.dtypes)["digest"] == "bigint"
+    buckets = spark.read.parquet(next(d for d in written if "/buckets-" in d))
+    held = buckets.groupBy("token").agg(F.sort_array(F.collect_list("grp")).alias("held")).select("held")
+    assert held.distinct().count() == held.count() > 0
+    assert all(sum(f.endswith(".parquet") for f in os.listdir(d)) <= 24 for d in written)

@@ -12,7 +12,7 @@ den * intersection >= num * union. The steps:
    hold give the same candidates, so one of them stands for all. In a bucket of a shingle one group is compared with all others (a star) and then leaves; buckets whose remaining
    groups are all in one component are done, for further links among them change nothing.
    When the pairs left are no more than a few times the rows at first, when a round leaves
-   over half of them, or after ``stars`` rounds, they are compared one by one, but only across components.
+   over nine tenths of them, or after ``stars`` rounds, they are compared one by one, but only across components.
 4. Candidate groups are expanded to their classes. Each set has a parity sketch: bit i is the parity of
    the number of shingles that fall on i. Two sketches differ in no more bits than their sets differ in
    shingles, so a pair with too many differing bits cannot link and goes before whole sets
@@ -336,24 +336,33 @@ def class_links(
         return materialise(both.coalesce(files), "live")
 
     fits = (F.col("n") * num <= F.col("pivot_n") * den) & (F.col("pivot_n") * num <= F.col("n") * den)
-    linked_to = materialise(connected(links, files).coalesce(files), "components")
-    live = labelled()
-    rows_first = live.agg(F.sum("size")).first()[0] or 0
-    before = None
-    for _ in range(stars):
+
+    def centres() -> DataFrame:
         # the star's centre is in the component that came last, so that outliers find the others
         last = F.max(F.struct("component", "grp", "n")).alias("last")
-        centre = (
+        return (
             live.groupBy("token")
-            .agg(F.sum("size").alias("many"), F.min("component").alias("least"), last)
+            .agg(
+                F.sum("size").alias("many"), F.min("component").alias("least"), last,
+                F.count("*").alias("rows"), F.bit_xor(F.xxhash64("grp")).alias("held"),
+            )
             .where("least <> last.component")
+            .groupBy("rows", "held")  # the same groups are left for several tokens: one stands for all
+            .agg(F.min(F.struct("token", "many", "last")).alias("one"))
             .select(
-                "token", "many", F.col("last.grp").alias("pivot"), F.col("last.n").alias("pivot_n"),
-                F.col("last.component").alias("pivot_component"),
+                "one.token", "one.many", F.col("one.last.grp").alias("pivot"), F.col("one.last.n").alias("pivot_n"),
+                F.col("one.last.component").alias("pivot_component"),
             )
         )
+
+    linked_to = materialise(connected(links, files).coalesce(files), "components")
+    live = labelled()
+    rows_first = live.agg(F.sum("size")).first()[0] or 0
+    before = None
+    for _ in range(stars):
+        centre = centres()
         pairs_left = centre.agg(F.sum(F.col("many") * (F.col("many") - 1) / 2)).first()[0]
-        if not pairs_left or pairs_left <= 3 * rows_first or before and 2 * pairs_left > before:
+        if not pairs_left or pairs_left <= 3 * rows_first or before and 10 * pairs_left > 9 * before:
             break  # nothing is left, or a few pairs for each row of the buckets, or stars hardly help
         before = pairs_left
         around = live.join(centre.drop("many"), "token").where("grp <> pivot")
@@ -367,7 +376,7 @@ def class_links(
         bucket = materialise(around.select("token", "grp", "n", "size").coalesce(files), "buckets")
         live = labelled()
     # groups of several classes are expanded, so that the sketches are those of the classes themselves
-    spread = live.join(grouped.select("grp", "node"), "grp", "left").select(
+    spread = live.join(centres().select("token"), "token").join(grouped.select("grp", "node"), "grp", "left").select(
         "token", F.coalesce("node", "grp").alias("node"), "n", "component"
     )
     sketched = materialise(spread.join(sketches.select("node", "sketch"), "node").coalesce(files), "sketched")

@@ -49,3 +49,12 @@ def test_parts_grow_with_the_table(spark, tmp_path, monkeypatch):
         table = frame(spark, str(tmp_path))
         assert table.count() == 50 * 7
         assert table.rdd.getNumPartitions() == 11
+
+
+def test_bins_are_made_once(spark):
+    days = [(1, dt.datetime(2024, 1, d), 1.0) for d in (1, 4, 9)]
+    grid = spark.createDataFrame(days, "k int, ts timestamp_ntz, x double")
+    filled = fill_and_roll(grid, ["x"], ["k"], every="1 day")
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sequence(") == 1  # no filter makes them again
+    assert filled.count() == 9

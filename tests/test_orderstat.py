@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aerocal.operators import orderstat
 from aerocal.operators.folds import fold_members, fold_starts, with_fold_block
+from aerocal.operators.gram import fold_medians
 from aerocal.operators.orderstat import exact_medians, values_at_ranks
 
 
@@ -127,3 +129,23 @@ def test_fold_blocks_do_not_depend_on_the_session_zone(spark, zone):
         assert [r.block for r in blocks.orderBy("i").collect()] == [0, 0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_brackets_of_keys_without_nulls_join_as_numbers(spark, monkeypatch):
+    plans = []
+    inside = orderstat._inside
+
+    def spy(*args):
+        found = inside(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(orderstat, "_inside", spy)
+    rng = random.Random(2)
+    rows = [(i % 3, rng.random(), None if i % 5 else rng.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "block int, a double, b double")
+    got = {r.fold: (r.a, r.b) for r in fold_medians(df, ["a", "b"], "block", 3).collect()}
+    for k in range(3):
+        parts = [[r[c] for r in rows if r[0] <= k and r[c] is not None] for c in (1, 2)]
+        assert got[k] == pytest.approx([np.median(p) for p in parts], abs=0)
+    assert plans and not any("isnull" in plan.split("BroadcastExchange")[0] for plan in plans)
